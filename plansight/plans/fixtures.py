@@ -154,3 +154,20 @@ def with_ctes(*ctes: str) -> str:
 
 def cte(name: str, sql: str) -> str:
     return f"{name} AS (\n{sql}\n)"
+
+# Derived code corpus (FIXTURES.md 4.4), DuckDB form; Spark form is
+# sources.corpus.derived_code_lines.
+CODE_LINES_CTE = """code_lines AS (
+SELECT concat('repo', CAST(user_id % 5 AS STRING)) AS repo,
+ concat(CASE user_id % 4 WHEN 0 THEN 'src/components/U' WHEN 1 THEN 'src/app/api/orders/U'
+        WHEN 2 THEN 'src/lib/U' ELSE 'src/pages/U' END, CAST(user_id AS STRING), '.tsx') AS path,
+ CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS line_no,
+ CASE event_type
+  WHEN 'view'     THEN concat('track(', chr(39), obj, '_viewed', chr(39), ', { ', obj, '_id: x.id, user_id: u.id });')
+  WHEN 'click'    THEN concat('<button onClick={handleCreate', upper(substr(obj,1,1)), substr(obj,2), '}>')
+  WHEN 'signup'   THEN concat('await prisma.', obj, '.create({ data });')
+  WHEN 'purchase' THEN concat('app.post(', chr(39), '/api/', obj, 's', chr(39), ', async (req, res) => {')
+  ELSE concat('// track(', chr(39), 'legacy_', obj, chr(39), ')') END AS text
+FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'workflow' WHEN 1 THEN 'invoice'
+                WHEN 2 THEN 'member' ELSE 'project' END AS obj FROM events) e
+)"""
