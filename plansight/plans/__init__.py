@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .catalog import REGISTRY, QuerySpec, query  # noqa: F401
 
-FAMILIES = ("q_events", "q_names")
+FAMILIES = ("q_events", "q_names", "q_plan")
 
 for _m in FAMILIES:
     import_module(f"{__name__}.{_m}")

@@ -130,3 +130,8 @@ def object_from_path(x: str) -> str:
     bad_files = ", ".join(q(f) for f in N.NON_OBJECT_FILES)
     return (f"(CASE WHEN {cleaned} = '' OR lower({cleaned}) IN ({bad_files}) OR length({snake}) < 3 "
             f"THEN NULL ELSE {snake} END)")
+
+
+def cnt(cond: str) -> str:
+    """count_if that yields 0 (not NULL) when every input is NULL."""
+    return f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"

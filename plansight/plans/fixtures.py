@@ -29,6 +29,8 @@ PLAN_ROWS = [
     (4, "refund", "User", "Order", "refunded", "medium", "implemented", "state_change"),
     (5, "signup", "User", "Account", "created", "critical", "approved", "action"),
     (6, "legacy_click", "User", "Button", "clicked", "low", "deprecated", "action"),
+    (7, "workflow_created", "User", "Workflow", "created", "high", "implemented", "state_change"),
+    (8, "workflow_completed", "User", "Workflow", "completed", "medium", "approved", "state_change"),
 ]
 
 
@@ -49,13 +51,17 @@ def values_sql(rows, alias: str, cols: list[str]) -> str:
     return f"SELECT * FROM (VALUES\n {body}\n) AS {alias}({', '.join(cols)})"
 
 
+# Plan timestamps are ISO strings, as in the plan document.
+PLAN_FIRST_SEEN = "2023-12-01T00:00:00"
+PLAN_LAST_SEEN = "2023-12-15T00:00:00"
+
 PLAN_EVENTS_SQL = values_sql(
-    [(rid, o, n, f"{n} event", a, obj, act, p, s, sig)
+    [(rid, o, n, f"{n} event", a, obj, act, p, s, sig, PLAN_FIRST_SEEN, PLAN_LAST_SEEN, "plan")
      for rid in PLAN_REPO_IDS
      for (o, n, a, obj, act, p, s, sig) in PLAN_ROWS],
     "plan_events",
     ["repo_id", "ord", "name", "description", "actor", "object", "action",
-     "priority", "status", "signal_type"],
+     "priority", "status", "signal_type", "first_seen", "last_seen", "location"],
 )
 
 PLAN_PROPS_SQL = """SELECT * FROM (VALUES
