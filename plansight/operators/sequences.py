@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from . import ordered
 
 
+def millis_between(a, b):
+    """Whole milliseconds from ``a`` to ``b`` (floor), null if either is null."""
+    us = F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
+    return F.floor(us / 1000).cast("bigint")
+
+
 def funnel(events: DataFrame, steps: list[str], window_seconds: int, entity: str = "user_id",
            time_col: str = "received_at", id_col: str = "event_id",
            bucket_seconds: int = ordered.DEFAULT_BUCKET_SECONDS) -> DataFrame:
@@ -41,10 +47,7 @@ def funnel(events: DataFrame, steps: list[str], window_seconds: int, entity: str
     last = F.col(f"t{len(steps)}")
     return (cur.withColumn("steps_reached", reached.cast("int"))
             .withColumn("completed", last.isNotNull())
-            .withColumn("time_to_complete_ms",
-                        F.when(last.isNotNull(),
-                               F.unix_micros(last.cast("timestamp")) / 1000
-                               - F.unix_micros(F.col("t1").cast("timestamp")) / 1000).cast("bigint")))
+            .withColumn("time_to_complete_ms", millis_between(F.col("t1"), last)))
 
 
 def funnel_summary(per_start: DataFrame, n_steps: int) -> DataFrame:
@@ -92,9 +95,9 @@ def time_since_previous(events: DataFrame, created: str, completed: str, entity:
     x = ev.withColumn("_c", F.when(F.col("event_name") == created, F.col(time_col)))
     x = ordered.carry(x, [entity], [time_col, id_col], "_c", "_created_at", direction="forward",
                       inclusive=True, time_col=time_col, bucket_seconds=bucket_seconds)
-    ms = (F.unix_micros(F.col(time_col).cast("timestamp")) - F.unix_micros(F.col("_created_at").cast("timestamp"))) / 1000
+    ms = millis_between(F.col("_created_at"), F.col(time_col))
     return (x.where(F.col("event_name") == completed)
-            .select(entity, id_col, time_col, ms.cast("bigint").alias("time_to_complete_ms")))
+            .select(entity, id_col, time_col, ms.alias("time_to_complete_ms")))
 
 
 def outcome_rates(events: DataFrame, flows: DataFrame) -> DataFrame:
