@@ -29,7 +29,7 @@ def plan_vs_actual(plan: DataFrame, counts: DataFrame, strict_case: bool = False
     (the dashboard's warning zero). The counts are first cut to plan keys with
     a broadcast semi join, so the outer join only sees at most |plan| rows.
     """
-    p = plan.withColumn("_k", _key("name", strict_case))
+    p = plan.select("repo_id", "ord", "name", "status", "priority").withColumn("_k", _key("name", strict_case))
     c = keyed_counts(counts, strict_case).join(
         F.broadcast(p.select("repo_id", "_k")), ["repo_id", "_k"], "left_semi")
     out = p.join(c, ["repo_id", "_k"], "left")
