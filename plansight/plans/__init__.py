@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .catalog import REGISTRY, QuerySpec, query  # noqa: F401
 
-FAMILIES = ("q_events", "q_names", "q_plan", "q_metrics", "q_sequences", "q_ingest", "q_contracts", "q_corpus", "q_misc")
+FAMILIES = ("q_events", "q_names", "q_plan", "q_metrics", "q_sequences", "q_ingest", "q_contracts", "q_corpus", "q_misc", "q_graph")
 
 for _m in FAMILIES:
     import_module(f"{__name__}.{_m}")
