@@ -123,7 +123,9 @@ def q_fanout_allowed(spark, sf_dir):
                                                F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
-@query("fanout_payloads", oracle=GOOD_EVENTS.rstrip() + ",\n" + fx.cte("fanout_targets", fx.FANOUT_TARGETS_SQL) + f""",
+def fanout_sql(good_sql: str) -> str:
+    """DuckDB oracle for fan-out payloads over a ``good`` CTE of accepted events."""
+    return (good_sql.rstrip() + ",\n" + fx.cte("fanout_targets", fx.FANOUT_TARGETS_SQL) + f""",
 tg AS (SELECT *, CASE WHEN destination <> 'custom' THEN true
                       ELSE coalesce(regexp_extract(url, '^([A-Za-z]+)://', 1) IN ('http', 'https')
                            AND lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) IN ('hooks.example.com'), false) END AS ok
@@ -148,6 +150,9 @@ SELECT request_id, pos, repo_id, destination, event_name, mid AS message_id,
    ELSE '{{"event":' || to_json(event_name) || ',"properties":' || props || ',"timestamp":' || to_json(client_ts) || '}}'
   END AS payload
 FROM j""")
+
+
+@query("fanout_payloads", oracle=fanout_sql(GOOD_EVENTS))
 def q_fanout_payloads(spark, sf_dir):
     ev = I.normalize(validated(spark, sf_dir))
     return FO.fanout_payloads(ev, T.dim(spark, fx.FANOUT_TARGETS_SQL), ALLOWED_HOSTS)
