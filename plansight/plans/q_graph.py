@@ -13,12 +13,12 @@ from ..sources import tables as T
 from . import duck as D
 from . import fixtures as fx
 from .catalog import query
+from ..session import materialize
 from .q_corpus import CL
 
 
 def corpus(spark, sf_dir):
-    lines = S.code_lines(spark, sf_dir)
-    return lines, S.to_files(lines)
+    return S.corpus_tables(spark, sf_dir)
 
 
 def objects(spark, sf_dir):
@@ -28,7 +28,7 @@ def objects(spark, sf_dir):
 
 def relationships(spark, sf_dir):
     _, files = corpus(spark, sf_dir)
-    return G.fk_relationships(files, G.context_objects(files))
+    return G.fk_relationships(files, materialize(G.context_objects(files)))
 
 
 def _pascal(x):

@@ -120,3 +120,12 @@ def derived_code_lines(raw_events: DataFrame) -> DataFrame:
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import read_table
     return derived_code_lines(read_table(spark, sf_dir, "events"))
+
+
+def corpus_tables(spark: SparkSession, sf_dir: str):
+    """(lines, files) of the derived corpus, each checkpointed once so every
+    detector reuses them instead of re-deriving them from the events."""
+    from ..session import materialize
+    lines = materialize(code_lines(spark, sf_dir).repartition("repo", "path"))
+    files = materialize(to_files(lines))
+    return lines, files
