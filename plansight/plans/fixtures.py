@@ -177,3 +177,27 @@ SELECT concat('repo', CAST(user_id % 5 AS STRING)) AS repo,
 FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'workflow' WHEN 1 THEN 'invoice'
                 WHEN 2 THEN 'member' ELSE 'project' END AS obj FROM events) e
 )"""
+
+# A small convention set for the convention queries (own content; the
+# loader reads real convention YAML files with the same shape).
+CONV_EVENTS_SQL = """SELECT * FROM (VALUES
+ ('workspace',     'workflow_viewed',  'success',  'A workflow was opened',  1),
+ ('workspace',     'invoice_viewed',   'success',  'An invoice was opened',  2),
+ ('workspace',     'project_archived', 'complete', 'A project was archived', 3),
+ ('collaboration', 'member_invited',   'success',  'A member was invited',   1),
+ ('commerce',      'purchase',         'success',  'An order was paid',      1),
+ ('commerce',      'signup',           'start',    'An account was created', 2)
+) AS conv_events(domain, name, lifecycle, description, ord)"""
+
+CONV_ATTRS_SQL = """SELECT * FROM (VALUES
+ ('workspace',     'workflow_viewed',  'workflow_id', 'string', true,  CAST(NULL AS STRING), 1),
+ ('workspace',     'workflow_viewed',  'user_id',     'string', true,  CAST(NULL AS STRING), 2),
+ ('workspace',     'invoice_viewed',   'invoice_id',  'string', true,  CAST(NULL AS STRING), 1),
+ ('workspace',     'invoice_viewed',   'amount',      'number', true,  CAST(NULL AS STRING), 2),
+ ('workspace',     'project_archived', 'project_id',  'string', true,  CAST(NULL AS STRING), 1),
+ ('collaboration', 'member_invited',   'role',        'enum',   true,  'admin|member',       1),
+ ('commerce',      'purchase',         'k',           'number', true,  CAST(NULL AS STRING), 1),
+ ('commerce',      'purchase',         'currency',    'enum',   true,  'usd|eur',            2),
+ ('commerce',      'signup',           'k',           'enum',   true,  '1|2|3',              1),
+ ('commerce',      'signup',           'method',      'enum',   false, 'email|google',       2)
+) AS conv_attrs(domain, event_name, attr, type, required, values_list, ord)"""
