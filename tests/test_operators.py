@@ -176,3 +176,22 @@ def test_regex_matches_positions(spark):
     got = [(r.offset, r.line_no, r.g1) for r in
            K.regex_matches(files, r"\btrack\s*\(\s*'([^']+)'", (1,)).orderBy("match_no").collect()]
     assert got == [(content.index("track('a')"), 2, "a"), (content.rindex("track("), 4, "b")]
+
+
+def test_mutation_hook_detector(spark):
+    content = ("export function useDeleteIssue() {\n"
+               "  return useMutation({\n"
+               "    mutationFn: async (id) => {\n"
+               "      // db.note.create() is a comment\n"
+               "      await supabase.from('issues').delete().eq('id', id);\n"
+               "    },\n"
+               "  });\n"
+               "}\n"
+               "const useOther = () => useMutation({ onSuccess: () => {} });\n")
+    files = spark.createDataFrame([("r", "src/hooks/IssueHooks.ts", content)], ["repo", "path", "content"])
+    from plansight.sources.corpus import to_lines
+    lines = to_lines(files)
+    got = {r.line_no: (r.function_name, list(r.entities), r.confidence)
+           for r in K.detect_mutation_hooks(files, lines).collect()}
+    assert got[2] == ("useDeleteIssue", ["issue"], 0.85)
+    assert got[9][0] == "useOther" and got[9][2] == 0.75
