@@ -32,7 +32,7 @@ def synthesized(spark, sf_dir):
 
 def scored(spark, sf_dir):
     lines, files, inter = parts(spark, sf_dir)
-    ev = Y.synthesize(inter)
+    ev = materialize(Y.synthesize(inter))
     ents = ev.select("repo", Y.N.entity_of_scored(F.col("name")).alias("entity"))
     return Y.score(ev, G.context_objects(files), K.cross_reference(lines, ents))
 
@@ -176,7 +176,7 @@ gp AS (SELECT b.*, CASE WHEN relevance >= 0.7 THEN 'critical' WHEN relevance >=
 
 def gap_rows(spark, sf_dir):
     lines, files, inter = parts(spark, sf_dir)
-    ev = Y.synthesize(inter)
+    ev = materialize(Y.synthesize(inter))
     ents = ev.select("repo", Y.N.entity_of_scored(F.col("name")).alias("entity"))
     sc = Y.score(ev, G.context_objects(files), K.cross_reference(lines, ents))
     existing = K.inventory(K.inventory_calls(files), lines)
