@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from .util import at as _at
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -107,7 +108,7 @@ def singular(c) -> Column:
 def past_tense(c) -> Column:
     """irregular map, else ``verb + ed`` (both lower-cased)."""
     v = F.lower(_c(c))
-    return F.coalesce(F.element_at(_map_lit(PAST_TENSE), v), F.concat(v, F.lit("ed")))
+    return F.coalesce(_at(_map_lit(PAST_TENSE), v), F.concat(v, F.lit("ed")))
 
 
 # --- F6 / F7 ------------------------------------------------------------------
@@ -137,7 +138,7 @@ def metric_id(c) -> Column:
 def object_from_path(c) -> Column:
     """F8: last path segment without a JS/TS extension, snake-cased; null when
     it is an index/route/page/app file or shorter than 3 characters."""
-    base = F.element_at(F.filter(F.split(_c(c), r"[\\/]"), lambda s: s != ""), -1)
+    base = _at(F.filter(F.split(_c(c), r"[\\/]"), lambda s: s != ""), -1)
     cleaned = F.regexp_replace(F.coalesce(base, F.lit("")), r"\.(ts|tsx|js|jsx)$", "")
     snake = snake_from_camel(cleaned)
     bad = (cleaned == "") | F.lower(cleaned).isin(*NON_OBJECT_FILES) | (F.length(snake) < 3)
@@ -158,7 +159,7 @@ def is_valid_event_name(c) -> Column:
     """Garbage list, charset, object_verb shape, object not the verb, 3..30 chars."""
     n = _c(c)
     parts = _parts(n)
-    verb = F.element_at(parts, -1)
+    verb = _at(parts, -1)
     obj = _object_part(parts)
     return (F.coalesce(
         ~n.isin(*GARBAGE_NAMES)
@@ -182,7 +183,7 @@ def split_object_action(c) -> tuple[Column, Column]:
     """P4 (plan variant): action = last ``_`` part (``unknown`` if none), object =
     the rest joined (``unknown`` if empty). Empty parts are kept."""
     parts = F.split(_c(c), "_")
-    action = F.element_at(parts, -1)
+    action = _at(parts, -1)
     obj = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "_")
     return (F.when(obj != "", obj).otherwise(F.lit("unknown")),
             F.coalesce(action, F.lit("unknown")))
@@ -205,7 +206,7 @@ def entity_of_scored(c) -> Column:
 
 def signal_type(interaction_type) -> Column:
     """P5: interaction type -> signal type (``action`` by default)."""
-    return F.coalesce(F.element_at(_map_lit(SIGNAL_OF_TYPE), _c(interaction_type)), F.lit("action"))
+    return F.coalesce(_at(_map_lit(SIGNAL_OF_TYPE), _c(interaction_type)), F.lit("action"))
 
 
 def priority_heuristic(name, interaction_type) -> Column:
@@ -221,4 +222,4 @@ def priority_heuristic(name, interaction_type) -> Column:
 
 
 def priority_rank(c) -> Column:
-    return F.coalesce(F.element_at(_map_lit(PRIORITY_RANK), _c(c)), F.lit(len(PRIORITY_RANK)))
+    return F.coalesce(_at(_map_lit(PRIORITY_RANK), _c(c)), F.lit(len(PRIORITY_RANK)))

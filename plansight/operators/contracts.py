@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..functions.util import at as _at
 
 # Where each signal type is routed.
 ROUTES = {
@@ -54,7 +55,7 @@ def contract_violations(events: DataFrame, plan_props: DataFrame) -> DataFrame:
     pp = F.broadcast(plan_props.select(F.lower("event_name").alias("_k"), "prop", "type", "required", "todo"))
     j = ev.join(pp, F.lower(ev["event_name"]) == pp["_k"])
     present = F.coalesce(F.array_contains("_keys", F.col("prop")), F.lit(False))
-    actual = json_type_of(F.element_at("_types", F.col("prop")))
+    actual = json_type_of(_at("_types", F.col("prop")))
     viol = (F.when(F.col("required") & ~F.col("todo") & ~present, "missing")
             .when(present & (actual != declared_json_type(F.col("type"))), "type_mismatch"))
     return (j.withColumn("violation", viol).where(F.col("violation").isNotNull())
@@ -87,4 +88,4 @@ def signal_routes(events_with_signal: DataFrame) -> DataFrame:
     """One row per event and destination class of its signal type."""
     m = F.create_map(*[x for k, v in ROUTES.items() for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))])
     return events_with_signal.withColumn("destination", F.explode(F.coalesce(
-        F.element_at(m, F.col("signal_type")), F.array(F.lit("analytics")))))
+        _at(m, F.col("signal_type")), F.array(F.lit("analytics")))))

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..functions.util import at as _at
 
 # The six lifecycle suffixes of the naming convention.
 LIFECYCLES = ["attempt", "success", "fail", "start", "complete", "skip"]
@@ -26,7 +27,7 @@ PII_PATTERNS = {
 
 def name_lint(names: DataFrame, col: str = "name") -> DataFrame:
     n = F.col(col)
-    last = F.element_at(F.split(n, "_"), -1)
+    last = _at(F.split(n, "_"), -1)
     return names.select(
         n.alias("name"),
         n.rlike(SNAKE).alias("is_snake_case"),
@@ -209,8 +210,8 @@ def payload_check(events: DataFrame, conv_attrs: DataFrame) -> DataFrame:
     ca = F.broadcast(conv_attrs.select(F.col("event_name").alias("_n"), "attr", "type", "required", "values"))
     j = ev.join(ca, F.lower(ev["event_name"]) == F.lower(ca["_n"]))
     present = F.coalesce(F.array_contains("_keys", F.col("attr")), F.lit(False))
-    actual = json_type_of(F.element_at("_t", F.col("attr")))
-    val = F.element_at("_v", F.col("attr"))
+    actual = json_type_of(_at("_t", F.col("attr")))
+    val = _at("_v", F.col("attr"))
     expected = F.when(F.col("type").isin("enum", "string"), "string").otherwise(F.col("type"))
     viol = (F.when(F.col("required") & ~present, "missing")
             .when(present & (F.col("type") == "enum") & (actual == "string") & ~F.array_contains("values", val), "not_in_enum")

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.util import at as _at
 
 from ..functions import names as N
 from .corpus import regex_matches
@@ -79,7 +80,7 @@ def primary_object(files: DataFrame, objects: DataFrame) -> DataFrame:
     c = F.col("content")
     def rx(p):
         return F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    base = F.regexp_replace(F.element_at(F.split("path", r"[\\/]"), -1), r"\.(ts|tsx|js|jsx)$", "")
+    base = F.regexp_replace(_at(F.split("path", r"[\\/]"), -1), r"\.(ts|tsx|js|jsx)$", "")
     guess = N.pascal_keep_tail(F.regexp_replace(base, "s$", ""))
     x = files.select("repo", "path",
                      F.coalesce(N.pascal_keep_tail(rx(PRISMA_ANY)),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.util import at as _at
 
 from ..functions import names as N
 
@@ -24,7 +25,7 @@ def generate_metrics(plan: DataFrame, lifecycle_objects: DataFrame) -> DataFrame
     ``_completed`` events are both in the plan; duplicates by lower-cased name
     keep the last definition. Per repo."""
     ev = plan.where(F.col("status") != "deprecated")
-    cat = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CATEGORY_OF_PRIORITY.items() for x in kv]),
+    cat = F.coalesce(_at(F.create_map(*[F.lit(x) for kv in CATEGORY_OF_PRIORITY.items() for x in kv]),
                                   F.col("priority")), F.lit("engagement"))
     counts = ev.select(
         "repo_id",
@@ -118,4 +119,4 @@ def metric_yaml(metrics: DataFrame) -> DataFrame:
 
 
 def unit_of(grain: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in GRAIN_UNITS.items() for x in kv]), grain)
+    return _at(F.create_map(*[F.lit(x) for kv in GRAIN_UNITS.items() for x in kv]), grain)

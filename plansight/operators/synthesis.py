@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.util import at as _at
 
 from ..functions import names as N
 from . import corpus as K
@@ -88,7 +89,7 @@ def _clean_operational(fn: Column) -> Column:
 def _pick_entity(ents: Column) -> Column:
     ok = F.filter(F.transform(F.coalesce(ents, F.array().cast("array<string>")), lambda e: F.lower(e)),
                   lambda e: (F.length(e) >= 3) & ~e.isin(*ENTITY_SKIP))
-    return F.element_at(ok, 1)
+    return _at(ok, 1)
 
 
 def _route_name(fn: Column) -> Column:
@@ -96,9 +97,9 @@ def _route_name(fn: Column) -> Column:
     path = F.regexp_extract(fn, ROUTE_FN, 2)
     segs = F.filter(F.transform(F.split(path, "/"), lambda s: F.trim(s)),
                     lambda s: (s != "") & ~s.startswith(":") & ~s.rlike(r"(?i)^v\d+$") & (F.lower(s) != "api"))
-    last = F.element_at(segs, -1)
+    last = _at(segs, -1)
     res = F.regexp_replace(F.regexp_replace(last, "-", "_"), "s$", "")
-    verb = F.element_at(F.create_map(*[F.lit(x) for kv in ROUTE_VERBS.items() for x in kv]), meth)
+    verb = _at(F.create_map(*[F.lit(x) for kv in ROUTE_VERBS.items() for x in kv]), meth)
     return F.when(meth.isNotNull() & last.isNotNull() & verb.isNotNull(), F.concat(res, F.lit("_"), verb))
 
 
@@ -178,7 +179,7 @@ def dedupe_events(ev: DataFrame) -> DataFrame:
     """A8 (by lower-cased name) then A9 (by object + canonical verb)."""
     p1 = _dedupe(ev, F.lower("name"))
     parts = F.split("name", "_")
-    verb = F.element_at(parts, -1)
+    verb = _at(parts, -1)
     obj = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "_")
     canon = F.when(verb.isin(*CREATION_VERBS), "created").when(verb.isin(*DELETION_VERBS), "deleted").otherwise(verb)
     return _dedupe(p1, F.concat(obj, F.lit(":"), canon))
@@ -337,8 +338,8 @@ def interaction_batches(interactions: DataFrame, size: int = 30) -> DataFrame:
     before = per_file.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("repo", "path").orderBy("first_detector", "first_match_no")
-    base = F.element_at(F.split("path", r"[\\/]"), -1)
-    ent = F.coalesce(F.element_at("entities", 1), N.object_from_path(F.col("path")), F.lit("unknown"))
+    base = _at(F.split("path", r"[\\/]"), -1)
+    ent = F.coalesce(_at("entities", 1), N.object_from_path(F.col("path")), F.lit("unknown"))
     x = interactions.withColumn("_r", F.row_number().over(w) - 1).join(before.select("repo", "path", "_off"),
                                                                       ["repo", "path"])
     idx = (F.col("_off") + F.col("_r")).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from ..functions.util import at as _at
 
 from ..operators import exports as X
 from ..operators import feedback as FB
@@ -68,7 +69,7 @@ def review_comments(conv):
     turn carries a reject tag, others a heading with or without a thumbs
     down, or a reject tag naming a real event type."""
     word = F.lower(F.regexp_extract("text", r"([A-Za-z]{3,})", 1))
-    evtype = F.element_at(F.array(*[F.lit(e) for e in EVENT_TYPES]), (F.col("conv_id") % 5 + 1).cast("int"))
+    evtype = _at(F.array(*[F.lit(e) for e in EVENT_TYPES]), (F.col("conv_id") % 5 + 1).cast("int"))
     name = F.concat(word, F.lit("_"), evtype)
     t = F.col("turn") % 5
     tag = FB.REJECT_TAG

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.util import at as _at
 
 from ..operators.patches import MARKER_TAG
 
@@ -30,7 +31,7 @@ def derived_patches(lines: DataFrame) -> DataFrame:
                      "\n").alias("_body"),
         F.first("_n").alias("_n"), F.first("_a").alias("_a"), F.first("_s").alias("_s"))
     user = F.regexp_extract("path", r"U(\d+)\.tsx$", 1).cast("int")
-    name = F.element_at(F.array(*[F.lit(n) for n in MARKED_EVENTS]), (F.floor(user / 3) % len(MARKED_EVENTS) + 1).cast("int"))
+    name = _at(F.array(*[F.lit(n) for n in MARKED_EVENTS]), (F.floor(user / 3) % len(MARKED_EVENTS) + 1).cast("int"))
     marker = F.when(user % 3 == 0, F.concat(F.lit(f"\n+// {MARKER_TAG}: "), name)).otherwise(F.lit(""))
     n_ctx = F.col("_a") - F.col("_s")
     header = F.concat(F.lit("@@ -"), F.col("_s").cast("string"), F.lit(","), (n_ctx + 1).cast("string"),
