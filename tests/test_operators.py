@@ -195,3 +195,42 @@ def test_mutation_hook_detector(spark):
            for r in K.detect_mutation_hooks(files, lines).collect()}
     assert got[2] == ("useDeleteIssue", ["issue"], 0.85)
     assert got[9][0] == "useOther" and got[9][2] == 0.75
+
+
+def test_scope_variables_and_inferred_properties(spark):
+    from plansight.operators import scope as SC
+    from plansight.sources.corpus import to_lines
+    content = ("export function WorkflowEditor({ workflow, onSave }: Props) {\n"
+               "  const [step, setStep] = useState<Step>(null);\n"
+               "  const { user } = useContext(AuthContext);\n"
+               "  if (x) {\n"
+               "    const hidden = 1;\n"
+               "  }\n"
+               "  const handleSave = async (data: Input, opts = {}) => {\n"
+               "    save(workflow);\n"
+               "  };\n"
+               "}\n")
+    files = spark.createDataFrame([("r", "src/components/WorkflowEditor.tsx", content)], ["repo", "path", "content"])
+    lines = to_lines(files)
+    targets = spark.createDataFrame([("r", "src/components/WorkflowEditor.tsx", 8)], ["repo", "path", "line_no"])
+    got = {r.name: (r.type, r.source) for r in SC.scope_variables(lines, targets).collect()}
+    # line 8 is inside the arrow function opened on line 7: its parameters and the
+    # line-7 declaration are in scope, the outer function's lines are not
+    assert got == {"data": ("Input", "parameter"), "opts": (None, "parameter"), "handleSave": (None, "const")}
+    targets2 = spark.createDataFrame([("r", "src/components/WorkflowEditor.tsx", 7)], ["repo", "path", "line_no"])
+    got2 = {r.name: (r.type, r.source) for r in SC.scope_variables(lines, targets2).collect()}
+    # on the start line itself only the parameters are in scope
+    assert got2 == {"data": ("Input", "parameter"), "opts": (None, "parameter")}
+    t3 = spark.createDataFrame([("r", "src/components/WorkflowEditor.tsx", 6)], ["repo", "path", "line_no"])
+    got3 = {r.name: (r.type, r.source) for r in SC.scope_variables(lines, t3).collect()}
+    # line 6 is still inside the if-block (depth 2), so `hidden` counts, as in the reference
+    assert got3 == {"workflow": (None, "parameter"), "onSave": (None, "parameter"), "step": ("Step", "useState"),
+                    "user": (None, "useContext"), "hidden": (None, "const")}
+    ev = spark.createDataFrame([("r", "workflow_saved", "src/components/WorkflowEditor.tsx", 6)],
+                               ["repo", "name", "path", "line_no"])
+    rel = spark.createDataFrame([("r", "Workflow", "Project", 1)], ["repo", "child", "parent", "ord"])
+    paths = spark.createDataFrame([("r", "Workflow", "Organization", 2, [1, 2])], ["repo", "from", "to", "hops", "ords"])
+    props = {r.prop: (r.required, r.access_path, r.verified) for r in
+             SC.infer_properties(ev, SC.scope_variables(lines, t3), rel, paths).collect()}
+    assert props == {"workflow_id": (True, "workflow.id", True), "project_id": (True, "project?.id", False),
+                     "organization_id": (False, "organization?.id", False), "user_id": (True, "user?.id", True)}
