@@ -155,7 +155,7 @@ def missing_reason(domain: Column, name: Column) -> Column:
 
 def convention_coverage(conv_events: DataFrame, conv_attrs: DataFrame, detected: DataFrame,
                         lines: DataFrame) -> DataFrame:
-    """Each convention event matched to the first location of the
+    """J11 (+ F20 ``required_hint``): each convention event matched to the first location of the
     detected event of the same (lower-cased) name, with the required
     attributes missing from that line and the five after it; or missing,
     with a reason and the required attribute list.
@@ -180,11 +180,16 @@ def convention_coverage(conv_events: DataFrame, conv_attrs: DataFrame, detected:
     miss = (ra.where(~present).groupBy("repo", "domain", "name")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "attr"))), lambda s: s["attr"]), ",")
                  .alias("missing_required")))
+    hint = F.when((F.col("type") == "enum") & F.col("values").isNotNull(),
+                  F.concat("attr", F.lit(" (enum: "), F.array_join("values", ", "), F.lit(")"))).otherwise(F.col("attr"))
+    hints = (req.groupBy(F.col("event_name").alias("name")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", hint.alias("h")))), lambda s: s["h"]), ", ").alias("required_hint")))
     matched = (m.where(F.col("path").isNotNull()).join(miss, ["repo", "domain", "name"], "left")
+               .join(hints, "name", "left")
                .select("repo", "domain", "name", F.lit("matched").alias("state"),
                        F.concat("path", F.lit(":"), F.col("line_no").cast("string")).alias("location"),
                        F.coalesce("missing_required", F.lit("")).alias("missing_required"),
-                       F.lit(None).cast("string").alias("reason")))
+                       F.lit(None).cast("string").alias("reason"), "required_hint"))
     req_list = (req.groupBy(F.col("event_name").alias("name")).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", F.when((F.col("type") == "enum") & F.col("values").isNotNull(),
                                                            F.concat("attr", F.lit(" (enum)"))).otherwise(F.col("attr")).alias("a")))),
@@ -192,7 +197,8 @@ def convention_coverage(conv_events: DataFrame, conv_attrs: DataFrame, detected:
     missing = (m.where(F.col("path").isNull()).join(req_list, "name", "left")
                .select("repo", "domain", "name", F.lit("missing").alias("state"), F.lit(None).cast("string").alias("location"),
                        F.coalesce("_req", F.lit("")).alias("missing_required"),
-                       missing_reason(F.col("domain"), F.col("name")).alias("reason")))
+                       missing_reason(F.col("domain"), F.col("name")).alias("reason"),
+                       F.lit(None).cast("string").alias("required_hint")))
     return matched.unionByName(missing)
 
 

@@ -53,11 +53,15 @@ miss AS (SELECT x.repo, x.domain, x.name, string_agg(a.attr, ',' ORDER BY a.ord)
          WHERE NOT regexp_matches(x.ctx, '["'']?' || replace(a.attr, '_', '[_s]?') || '["'']?\\s*:')
            AND NOT regexp_matches(x.ctx, '\\b' || a.attr || '\\b')
          GROUP BY ALL),
+hn AS (SELECT event_name, string_agg(CASE WHEN type = 'enum' AND values_list IS NOT NULL
+                                          THEN attr || ' (enum: ' || replace(values_list, '|', ', ') || ')' ELSE attr END,
+                                     ', ' ORDER BY ord) AS required_hint FROM conv_attrs WHERE required GROUP BY 1),
 rl AS (SELECT event_name, string_agg(CASE WHEN type = 'enum' AND values_list IS NOT NULL THEN attr || ' (enum)' ELSE attr END,
                                    ',' ORDER BY ord) AS req FROM conv_attrs WHERE required GROUP BY 1)
 SELECT m.repo, m.domain, m.name, 'matched' AS state, m.path || ':' || CAST(m.line_no AS VARCHAR) AS location,
-       coalesce(miss.mr, '') AS missing_required, CAST(NULL AS VARCHAR) AS reason
+       coalesce(miss.mr, '') AS missing_required, CAST(NULL AS VARCHAR) AS reason, hn.required_hint
 FROM m LEFT JOIN miss ON miss.repo = m.repo AND miss.domain = m.domain AND miss.name = m.name
+LEFT JOIN hn ON hn.event_name = m.name
 UNION ALL
 SELECT CAST(NULL AS VARCHAR), e.domain, e.name, 'missing', NULL, coalesce(rl.req, ''),
   CASE {" ".join(f"WHEN contains(e.name, {D.q(a)}) THEN {D.q(b)}" for a, b in CV.MISSING_REASONS_CONTAINS)}
@@ -67,7 +71,7 @@ SELECT CAST(NULL AS VARCHAR), e.domain, e.name, 'missing', NULL, coalesce(rl.req
        WHEN e.domain = 'search' THEN {D.q(CV.MISSING_REASONS_DOMAIN['search'])}
        {" ".join(f"WHEN e.name = {D.q(a)} THEN {D.q(b)}" for a, b in CV.MISSING_REASONS_EXACT_2[3:])}
        WHEN e.domain = 'collaboration' THEN {D.q(CV.MISSING_REASONS_DOMAIN['collaboration'])}
-       ELSE 'Not found in codebase' END
+       ELSE 'Not found in codebase' END, CAST(NULL AS VARCHAR)
 FROM conv_events e LEFT JOIN rl ON rl.event_name = e.name
 WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.k = lower(e.name))""")
 def q_convention_coverage(spark, sf_dir):
