@@ -120,3 +120,24 @@ def metric_yaml(metrics: DataFrame) -> DataFrame:
 
 def unit_of(grain: Column) -> Column:
     return _at(F.create_map(*[F.lit(x) for kv in GRAIN_UNITS.items() for x in kv]), grain)
+
+
+def expected_sequences(plan: DataFrame, lifecycle_objects: DataFrame) -> DataFrame:
+    """A18 (generation): for every lifecycle object whose ``_created`` and
+    ``_completed`` events are in the plan, the sequence created ->
+    (edited, else activated, when planned) -> completed within 7 days."""
+    names = plan.select("repo_id", F.lower("name").alias("n")).distinct()
+    objs = lifecycle_objects.select("object", N.snake_from_camel("object").alias("obj")).distinct()
+    has = (names.join(F.broadcast(objs), F.col("n").startswith(F.concat("obj", F.lit("_"))))
+           .groupBy("repo_id", "object", "obj").agg(F.collect_set("n").alias("_ns")))
+
+    def present(suffix):
+        return F.array_contains("_ns", F.concat("obj", F.lit(suffix)))
+    middle = F.when(present("_edited"), F.array(F.concat("obj", F.lit("_edited")))) \
+        .when(present("_activated"), F.array(F.concat("obj", F.lit("_activated")))) \
+        .otherwise(F.array().cast("array<string>"))
+    steps = F.concat(F.array(F.concat("obj", F.lit("_created"))), middle, F.array(F.concat("obj", F.lit("_completed"))))
+    return (has.where(present("_created") & present("_completed"))
+            .select("repo_id", F.concat("obj", F.lit("_activation")).alias("name"), steps.alias("steps"),
+                    F.lit("7d").alias("expected_window"),
+                    F.concat(F.lit("Measures whether users activate after creating a "), "object").alias("significance")))

@@ -98,3 +98,20 @@ FROM agg WHERE kind = 'ratio'""")
 def q_metric_ratios(spark, sf_dir):
     m = T.dim(spark, fx.PLAN_METRICS_SQL)
     return M.evaluate_metrics(T.events(spark, sf_dir), m.where(F.col("kind") == "ratio"))
+
+
+@query("expected_sequences", oracle=MERGED_DUCK.rstrip() + ",\n" + LIFECYCLES + f""",
+nm AS (SELECT DISTINCT repo_id, lower(name) AS n FROM merged),
+ob AS (SELECT DISTINCT object, {D.snake_from_camel('object')} AS obj FROM lifecycle_states),
+h AS (SELECT nm.repo_id, ob.object, ob.obj, list(nm.n) AS ns FROM nm JOIN ob ON starts_with(nm.n, ob.obj || '_') GROUP BY ALL)
+SELECT repo_id, obj || '_activation' AS name,
+  array_to_string(list_concat([obj || '_created'],
+    CASE WHEN list_contains(ns, obj || '_edited') THEN [obj || '_edited']
+         WHEN list_contains(ns, obj || '_activated') THEN [obj || '_activated'] ELSE CAST([] AS VARCHAR[]) END,
+    [obj || '_completed']), ',') AS steps,
+  '7d' AS expected_window, 'Measures whether users activate after creating a ' || object AS significance
+FROM h WHERE list_contains(ns, obj || '_created') AND list_contains(ns, obj || '_completed')""")
+def q_expected_sequences(spark, sf_dir):
+    """A18 generation: expected sequences of the merged plan's lifecycles."""
+    s = M.expected_sequences(merged_plan(spark, sf_dir), T.dim(spark, fx.LIFECYCLE_STATES_SQL))
+    return s.withColumn("steps", F.array_join("steps", ","))
