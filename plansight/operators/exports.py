@@ -116,3 +116,33 @@ def stream_rules(plan: DataFrame, props: DataFrame) -> DataFrame:
         "repo_id", F.lit("transform").alias("kind"), F.concat(F.lit("validate_"), "name").alias("rule"),
         F.col("name").alias("event_name"), F.lit("validate").alias("action"), "required")
     return filters.unionByName(tr)
+
+
+def agent_context(events: DataFrame, metrics: DataFrame, sequences: DataFrame, actors: DataFrame,
+                  objects: DataFrame, relationships: DataFrame, paths: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    """One compact JSON document per repo for agents: actors, objects,
+    relationships, lifecycles, join paths, expected sequences, events
+    (name, priority, status, includes) and metrics (name, formula, category,
+    grain, events). Every section is bounded by the plan / graph size, not by
+    the event stream; arrays are ordered so the document is deterministic."""
+    def section(df, name, fields, order):
+        return df.groupBy("repo_id").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("_o"), F.struct(*fields).alias("_v")))),
+            lambda s: s["_v"]).alias(name))
+    secs = [
+        section(actors, "actors", ["name", "type", "identifier_pattern", "confidence"], ["name"]),
+        section(objects, "objects", ["name", "source", F.col("exposed_via_api").alias("exposedViaAPI")], ["ord"]),
+        section(relationships, "relationships", ["child", "parent", "relationship"], ["ord"]),
+        section(lifecycles, "lifecycles", ["object", "states"], ["object"]),
+        section(paths, "joinPaths", ["from", "to", "via"], ["from", "to"]),
+        section(sequences, "expectedSequences", ["name", "steps", F.col("expected_window").alias("expectedWindow")], ["name"]),
+        section(events, "events", ["name", "priority", "status", "includes"], ["ord", "name"]),
+        section(metrics, "metrics", [F.col("metric").alias("name"), "formula", "category", "grain", "events"], ["metric"]),
+    ]
+    base = events.select("repo_id").distinct()
+    for s in secs:
+        base = base.join(s, "repo_id", "left")
+    cols = [c for c in base.columns if c != "repo_id"]
+    doc = F.to_json(F.struct(*[F.col(c) for c in cols]))
+    return base.select("repo_id", doc.alias("document"),
+                       *[F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}") for c in cols])

@@ -223,3 +223,25 @@ def q_context_lifecycles(spark, sf_dir):
     _, files = corpus(spark, sf_dir)
     lc = G.lifecycles_from_code(files, G.context_objects(files))
     return lc.select("repo", "object", F.array_join("states", ",").alias("states"))
+
+
+@query("export_agent_context")
+def q_export_agent_context(spark, sf_dir):
+    """Compact agent JSON per repo (rows-only; every section is an
+    oracle-checked query of its own)."""
+    from ..operators import exports as X
+    from ..operators import metrics as M
+    from .q_plan import merged_plan
+    _, files = corpus(spark, sf_dir)
+    objs = materialize(G.context_objects(files))
+    rel = G.fk_relationships(files, objs)
+    paths = G.join_paths(rel, keys=["repo"])
+    rid = F.regexp_extract("repo", r"(\d+)$", 1).cast("int").alias("repo_id")
+    m = merged_plan(spark, sf_dir).withColumn("includes", F.lit(None).cast("array<string>"))
+    lcs = T.dim(spark, fx.LIFECYCLE_STATES_SQL)
+    metrics = M.generate_metrics(m, lcs)
+    seqs = M.expected_sequences(m, lcs)
+    lc_code = G.lifecycles_from_code(files, objs).select(rid, "object", "states")
+    return X.agent_context(m, metrics, seqs, G.context_actors(files).select(rid, "*").drop("repo"),
+                           objs.select(rid, "*").drop("repo"), rel.select(rid, "*").drop("repo"),
+                           paths.select(rid, "*").drop("repo"), lc_code)
