@@ -225,3 +225,24 @@ def q_interaction_batches(spark, sf_dir):
     """Interactions packed in batches of 30 in discovery order."""
     _, _, inter = parts(spark, sf_dir)
     return Y.interaction_batches(inter, 30)
+
+
+@query("best_location", oracle=GAPS_DUCK + """
+SELECT repo, name, path AS file, line_no AS line, confidence, 'detected' AS hint FROM gp""")
+def q_best_location(spark, sf_dir):
+    """The location of every gap through the fallback chain (detected
+    location, status transition, inferred file, unknown)."""
+    from ..operators import locations as L
+    g, _ = gap_rows(spark, sf_dir)
+    lines, files = S.corpus_tables(spark, sf_dir)
+    return L.best_locations(g.select("repo", "name", "path", "line_no", "confidence"), files, lines)
+
+
+@query("status_transition_locations")
+def q_status_transition_locations(spark, sf_dir):
+    """C14 + T5: runtime status transitions in the corpus with their pattern
+    (rows-only: the derived corpus assigns no statuses; the rules are
+    unit-tested)."""
+    from ..operators import locations as L
+    lines, files = S.corpus_tables(spark, sf_dir)
+    return L.status_transitions(files, lines).select("repo", "path", "line_no", "status", "pattern", "context")

@@ -234,3 +234,25 @@ def test_scope_variables_and_inferred_properties(spark):
              SC.infer_properties(ev, SC.scope_variables(lines, t3), rel, paths).collect()}
     assert props == {"workflow_id": (True, "workflow.id", True), "project_id": (True, "project?.id", False),
                      "organization_id": (False, "organization?.id", False), "user_id": (True, "user?.id", True)}
+
+
+def test_status_transitions_and_best_location(spark):
+    from plansight.operators import locations as L
+    from plansight.sources.corpus import to_lines
+    files = spark.createDataFrame([
+        ("r", "src/services/run.ts",
+         "export async function finish(run) {\n  await db.runs.update({ status: 'completed' });\n"
+         "  run.status = 'completed';\n  return run;\n}\n"),
+        ("r", "src/types.ts", "type RunStatus = 'started' | 'completed';\nx.status = 'completed';\n"),
+        ("r", "src/workflows/editor.ts", "export const a = 1;\n")], ["repo", "path", "content"])
+    lines = to_lines(files)
+    tr = {(r.path, r.line_no, r.pattern) for r in L.status_transitions(files, lines).collect() if r.status == "completed"}
+    # the type file is not runtime code
+    assert tr == {("src/services/run.ts", 2, "update-status"), ("src/services/run.ts", 3, "assignment")}
+    gaps = spark.createDataFrame([("r", "run_completed", None, 0, 0.5), ("r", "workflow_opened", None, 0, 0.5),
+                                  ("r", "thing_done", "src/a.ts", 4, 0.85)],
+                                 "repo string, name string, path string, line_no int, confidence double")
+    best = {r.name: (r.file, r.line, r.confidence, r.hint) for r in L.best_locations(gaps, files, lines).collect()}
+    assert best["run_completed"] == ("src/services/run.ts", 2, 0.8, "status_transition")
+    assert best["workflow_opened"] == ("src/workflows/editor.ts", 1, 0.25, "inferred")
+    assert best["thing_done"] == ("src/a.ts", 4, 0.85, "detected")
