@@ -242,3 +242,63 @@ def infer_properties(events: DataFrame, scope: DataFrame, rel: DataFrame, paths:
         u = u.unionByName(p)
     w = Window.partitionBy("repo", "event_name", "prop").orderBy("ord")
     return u.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+# Property extraction from the code around an interaction.
+TYPED_ARG = r"(?:mutationFn\s*:\s*)?async\s*\(\s*(\w+)\s*:\s*\{([^}]+)\}\s*\)\s*=>"
+UNTYPED_ARG = r"(?:mutationFn\s*:\s*)?async\s*\(\s*(\w+)\s*\)\s*=>"
+USE_MUTATION_CALL = r"\buseMutation\s*\("
+DB_RETURN = r"const\s*\{\s*data\b[^}]*\}\s*=\s*await\s+\w+\."
+SKIP_ARGS = ["e", "ev", "event", "req", "res", "ctx", "context", "err", "error"]
+SKIP_PROPS = ["id", "then", "catch", "finally", "call", "apply"]
+
+
+def normalize_property_type(t: Column) -> Column:
+    x = F.regexp_replace(F.lower(F.trim(t)), r"\s+", "")
+    return (F.when(x.isin("number", "int", "float", "bigint"), "number").when(x.isin("boolean", "bool"), "boolean")
+            .when(x.endswith("[]") | x.startswith("array"), "array").otherwise("string"))
+
+
+def code_properties(interactions: DataFrame, files: DataFrame) -> DataFrame:
+    """Properties of each interaction's event read from its file: the
+    fields of a typed inline parameter, else ``arg.prop`` uses of an untyped
+    one, plus ``<entity>_id`` when the file destructures ``data`` from an
+    awaited client call. First definition of a name wins."""
+    f = files.select("repo", "path", "content")
+    per_file = f.select(
+        "repo", "path",
+        F.regexp_extract("content", TYPED_ARG, 1).alias("_targ"), F.regexp_extract("content", TYPED_ARG, 2).alias("_tbody"),
+        F.col("content").rlike(USE_MUTATION_CALL).alias("_mut"),
+        F.regexp_extract("content", UNTYPED_ARG, 1).alias("_uarg"),
+        F.col("content").rlike(DB_RETURN).alias("_db"), "content")
+    typed = per_file.where(F.col("_targ") != "").select(
+        "repo", "path", F.posexplode(F.split("_tbody", "[;,]")).alias("_i", "_field"), "_targ", "_mut")
+    fm = r"^(\w+)\??\s*:\s*(.+)$"
+    fld = F.trim("_field")
+    prefix = F.when(F.col("_mut"), F.lit("variables")).otherwise(F.col("_targ"))
+    typed = typed.where(fld.rlike(fm)).select(
+        "repo", "path", F.col("_i").alias("ord"), F.trim(F.regexp_extract(fld, fm, 1)).alias("prop"),
+        normalize_property_type(F.regexp_extract(fld, fm, 2)).alias("type"), (~fld.contains("?:")).alias("required"),
+        F.concat(F.lit("from "), prefix, F.lit(" parameter")).alias("description"),
+        F.concat(prefix, F.lit("."), F.trim(F.regexp_extract(fld, fm, 1))).alias("access_path")) \
+        .where(F.length("prop") >= 2)
+    untyped = per_file.where((F.col("_targ") == "") & (F.col("_uarg") != "") & ~F.col("_uarg").isin(*SKIP_ARGS))
+    usage = F.regexp_extract_all(F.col("content"), F.concat(F.lit("\\b"), F.col("_uarg"), F.lit("\\.([a-zA-Z][a-zA-Z0-9_]*)")), 1)
+    untyped = untyped.select("repo", "path", "_uarg", F.posexplode(usage).alias("ord", "prop")) \
+        .where(~F.col("prop").isin(*SKIP_PROPS)).select(
+            "repo", "path", (F.col("ord") + 10_000).alias("ord"), "prop", F.lit("string").alias("type"),
+            F.lit(True).alias("required"), F.concat(F.lit("from "), "_uarg", F.lit(" usage")).alias("description"),
+            F.concat("_uarg", F.lit("."), "prop").alias("access_path"))
+    file_props = typed.unionByName(untyped)
+    it = interactions.select("repo", "path", "function_name", F.col("line_no").alias("_line"),
+                             _at(F.col("entities"), 1).alias("_entity"))
+    a = it.join(file_props, ["repo", "path"])
+    db = it.join(per_file.where("_db").select("repo", "path"), ["repo", "path"]).where(F.col("_entity").isNotNull()).select(
+        "repo", "path", "function_name", "_line", "_entity", F.lit(1_000_000).alias("ord"),
+        F.concat("_entity", F.lit("_id")).alias("prop"), F.lit("string").alias("type"), F.lit(False).alias("required"),
+        F.lit("from insert return data").alias("description"), F.lit("data?.id").alias("access_path"))
+    u = a.unionByName(db)
+    w = Window.partitionBy("repo", "path", "function_name", "prop").orderBy("ord")
+    return (u.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+            .select("repo", "path", "function_name", F.col("_line").alias("line_no"), "prop", "type", "required",
+                    "description", "access_path", F.lit(True).alias("verified")))

@@ -129,3 +129,13 @@ def q_inferred_properties(spark, sf_dir):
     paths = G.join_paths(rel, keys=["repo"])
     lcs = G.lifecycles_from_code(files, objs)
     return SC.infer_properties(ev, scope, rel, paths, lifecycles=lcs)
+
+
+@query("event_properties_from_code")
+def q_event_properties_from_code(spark, sf_dir):
+    """Properties read from the code of each interaction's file (typed
+    parameter, untyped parameter use, DB return); rows-only - the derived
+    corpus has none of these shapes; the rules are unit-tested."""
+    lines, files = S.corpus_tables(spark, sf_dir)
+    inter = materialize(K.interactions(files, lines))
+    return SC.code_properties(inter, files)

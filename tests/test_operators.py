@@ -256,3 +256,20 @@ def test_status_transitions_and_best_location(spark):
     assert best["run_completed"] == ("src/services/run.ts", 2, 0.8, "status_transition")
     assert best["workflow_opened"] == ("src/workflows/editor.ts", 1, 0.25, "inferred")
     assert best["thing_done"] == ("src/a.ts", 4, 0.85, "detected")
+
+
+def test_code_properties(spark):
+    from plansight.operators import scope as SC
+    f1 = ("const m = useMutation({\n  mutationFn: async (input: { email: string; role?: 'admin' | 'member'; seats: number }) => {\n"
+          "    const { data } = await supabase.from('invites').insert(input);\n  },\n});\n")
+    f2 = "export const save = async (draft) => {\n  api.put(draft.title, draft.body, draft.id);\n};\n"
+    files = spark.createDataFrame([("r", "a.ts", f1), ("r", "b.ts", f2)], ["repo", "path", "content"])
+    inter = spark.createDataFrame([("r", "a.ts", "useInvite", 1, ["invite"]), ("r", "b.ts", "save", 1, ["draft"])],
+                                  "repo string, path string, function_name string, line_no int, entities array<string>")
+    got = {(r.path, r.prop): (r.type, r.required, r.access_path) for r in SC.code_properties(inter, files).collect()}
+    assert got == {("a.ts", "email"): ("string", True, "variables.email"),
+                   ("a.ts", "role"): ("string", False, "variables.role"),
+                   ("a.ts", "seats"): ("number", True, "variables.seats"),
+                   ("a.ts", "invite_id"): ("string", False, "data?.id"),
+                   ("b.ts", "title"): ("string", True, "draft.title"),
+                   ("b.ts", "body"): ("string", True, "draft.body")}
