@@ -345,3 +345,54 @@ def interaction_batches(interactions: DataFrame, size: int = 30) -> DataFrame:
     idx = (F.col("_off") + F.col("_r")).cast("long")
     return x.select("repo", F.floor(idx / size).cast("int").alias("batch"), idx.alias("index"),
                     "path", "function_name", F.concat(base, F.lit("::"), ent).alias("group_hint"))
+
+
+PRIORITIES = ["critical", "high", "medium", "low"]
+
+
+def merge_proposals(interactions: DataFrame, proposals: DataFrame, batch_size: int = 30,
+                    granular: bool = False) -> DataFrame:
+    """Merge externally proposed events with rule-based fallback names.
+
+    ``interactions`` carry their discovery ``index`` (W8); ``proposals(repo,
+    batch, ord, name, description, priority, includes, source_ids, skipped)``
+    hold one row per proposed event (``skipped`` repeats the batch's skipped
+    indexes). A proposal keeps only valid names and source ids inside its
+    batch (first occurrences); its location is the source with the highest
+    confidence (first on ties) and its signal type that of its first source.
+    Interactions neither used nor skipped get the rule-based name. The union
+    is deduplicated and grouped like ``synthesize``."""
+    it = interactions.select("repo", "index", "type", "function_name", "path", "line_no", "context", "confidence",
+                             F.col("trigger").alias("hint"), "entities", "ui_hint")
+    p = proposals.where(N.is_valid_event_name(F.col("name")))
+    lo = F.col("batch") * batch_size
+    src = (p.select("repo", "batch", "ord", F.posexplode("source_ids").alias("_sp", "index"))
+           .where((F.col("index") >= lo) & (F.col("index") < lo + batch_size)))
+    src = src.groupBy("repo", "batch", "ord", "index").agg(F.min("_sp").alias("_sp"))
+    js = src.join(it, ["repo", "index"])
+    best = js.groupBy("repo", "batch", "ord").agg(
+        F.min_by(F.struct("path", "line_no", "context", "confidence", "hint"),
+                 F.struct(-F.col("confidence"), F.col("_sp"))).alias("loc"),
+        F.min_by("type", "_sp").alias("_type"), F.count(F.lit(1)).alias("n_sources"))
+    pe = p.join(best, ["repo", "batch", "ord"]).select(
+        "repo", "name",
+        F.when(F.trim(F.coalesce("description", F.lit(""))) != "", F.col("description"))
+        .otherwise(F.concat(F.lit("Business interaction: "), "name")).alias("description"),
+        F.when(F.col("priority").isin(*PRIORITIES), F.col("priority")).otherwise(F.lit("medium")).alias("priority"),
+        N.signal_type(F.col("_type")).alias("signal_type"),
+        "loc.path", "loc.line_no", "loc.context", "loc.confidence", "loc.hint",
+        F.array_join("includes", ",").alias("includes"),
+        F.struct(F.lit(0).alias("src"), F.col("batch").cast("long").alias("a"), F.col("ord").cast("long").alias("b")).alias("pos"),
+        F.col("n_sources").cast("long").alias("n_sources"))
+    covered = (src.select("repo", "index")
+               .unionByName(p.select("repo", F.explode("skipped").alias("index")))).distinct()
+    un = it.join(covered, ["repo", "index"], "left_anti")
+    un = un.withColumn("name", guess_event_name(F.col("type"), F.col("function_name"), F.col("ui_hint"), F.col("entities")))
+    ue = un.where(F.col("name").isNotNull() & N.is_valid_event_name(F.col("name"))).select(
+        "repo", "name", F.concat(F.col("type"), F.lit(": "), F.col("function_name")).alias("description"),
+        N.priority_heuristic(F.col("name"), F.col("type")).alias("priority"), N.signal_type(F.col("type")).alias("signal_type"),
+        "path", "line_no", "context", "confidence", "hint", F.lit(None).cast("string").alias("includes"),
+        F.struct(F.lit(1).alias("src"), F.col("index").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("pos"),
+        F.lit(1).cast("long").alias("n_sources"))
+    d = dedupe_events(pe.unionByName(ue))
+    return d if granular else group_business_edits(d)

@@ -273,3 +273,25 @@ def test_code_properties(spark):
                    ("a.ts", "invite_id"): ("string", False, "data?.id"),
                    ("b.ts", "title"): ("string", True, "draft.title"),
                    ("b.ts", "body"): ("string", True, "draft.body")}
+
+
+def test_merge_proposals(spark):
+    from plansight.operators import synthesis as Y
+    inter = spark.createDataFrame([
+        ("r", 0, "click_handler", "handleCreateTeam", "a.tsx", 3, "", 0.85, "onClick={handleCreateTeam}", ["team"], None),
+        ("r", 1, "mutation", "team.create", "a.tsx", 9, "", 0.9, ".create(", ["team"], None),
+        ("r", 2, "click_handler", "handleDeleteTeam", "a.tsx", 12, "", 0.85, "onClick={handleDeleteTeam}", ["team"], None),
+        ("r", 3, "route_handler", "POST /api/invites", "b.ts", 1, "", 0.9, "post('/api/invites')", ["invite"], None)],
+        "repo string, index long, type string, function_name string, path string, line_no int, context string, "
+        "confidence double, trigger string, entities array<string>, ui_hint string")
+    props = spark.createDataFrame([
+        ("r", 0, 1, "team_formed", "", "critical", None, [0, 1, 1, 99], [3]),
+        ("r", 0, 2, "Bad Name", "x", "high", None, [2], [3])],
+        "repo string, batch long, ord int, name string, description string, priority string, includes array<string>, "
+        "source_ids array<long>, skipped array<long>")
+    got = {r.name: (r.path, r.line_no, r.priority, r.signal_type, r.description, r.n_sources)
+           for r in Y.merge_proposals(inter, props, granular=True).collect()}
+    # 99 is outside the batch, 1 is repeated; index 2 stays uncovered (invalid
+    # proposal) and gets its rule-based name; index 3 was skipped
+    assert got == {"team_formed": ("a.tsx", 9, "critical", "action", "Business interaction: team_formed", 2),
+                   "team_deleted": ("a.tsx", 12, "medium", "action", "click_handler: handleDeleteTeam", 1)}
