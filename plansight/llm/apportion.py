@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import SPACE, run_folder, written
 
@@ -182,7 +183,7 @@ def mix_report(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
         "doc_id", "size", F.col("source_size"), F.col("target"), F.col("taken").cast("long").alias("taken"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(text: pd.Series, froms: pd.Series, ns: pd.Series) -> pd.Series:
     """The words from .. from + n - 1 of each text, white space between neighbouring words unchanged."""
     out = []
