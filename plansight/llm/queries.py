@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import apportion, jump_shards, line_runs
+from . import apportion, bloom_cascade, jump_shards, line_runs
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,9 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op2_source_mix, op3_line_dedup, op4_jump_shards)}
-ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE}
+def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_cascade.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (op2_source_mix, op3_line_dedup, op4_jump_shards, op7_bloom_cascade)}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op7_bloom_cascade": bloom_cascade.ORACLE}
