@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import apportion, bloom_cascade, jump_shards, line_runs
+from . import apportion, bloom_cascade, forest_ann, jump_shards, knn_quality, line_runs
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_ann.report(table(spark, sf_dir, "embeddings"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix_report(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,10 @@ def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.report(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Builder] = {f.__name__: f for f in (op2_source_mix, op3_line_dedup, op4_jump_shards, op7_bloom_cascade)}
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Builder] = {f.__name__: f for f in (
+    op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op7_bloom_cascade, op10_knn_quality)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op7_bloom_cascade": bloom_cascade.ORACLE}
