@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import apportion, bloom_cascade, forest_ann, jump_shards, knn_quality, line_runs
+from . import apportion, bloom_cascade, decontaminate, forest_ann, jump_shards, knn_quality, line_runs
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +35,15 @@ def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.report(table(spark, sf_dir, "pages"))
 
 
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op7_bloom_cascade, op10_knn_quality)}
+    op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op7_bloom_cascade,
+    op8_simhash_windows, op10_knn_quality)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op7_bloom_cascade": bloom_cascade.ORACLE}
