@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import apportion, bloom_cascade, decontaminate, forest_ann, jump_shards, knn_quality, line_runs
+from . import anchors, apportion, bloom_cascade, decontaminate, forest_ann, jump_shards, knn_quality, line_runs
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.report(table(spark, sf_dir, "documents"))
 
 
+def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.report(table(spark, sf_dir, "documents"))
+
+
 def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.report(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op7_bloom_cascade,
+    op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op5_block_anchors, op7_bloom_cascade,
     op8_simhash_windows, op10_knn_quality)}
-ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op7_bloom_cascade": bloom_cascade.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op5_block_anchors": anchors.ORACLE,
+                           "op7_bloom_cascade": bloom_cascade.ORACLE}
