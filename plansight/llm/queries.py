@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, apportion, bloom_cascade, decontaminate, forest_ann, jump_shards, knn_quality, line_runs
+from . import anchors, apportion, bloom_cascade, decontaminate, forest_ann, jump_shards, knn_quality, line_runs, near_dup
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -43,12 +43,16 @@ def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op5_block_anchors, op7_bloom_cascade,
-    op8_simhash_windows, op10_knn_quality)}
+    op8_simhash_windows, op9_bayes_minhash, op10_knn_quality)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op5_block_anchors": anchors.ORACLE,
-                           "op7_bloom_cascade": bloom_cascade.ORACLE}
+                           "op7_bloom_cascade": bloom_cascade.ORACLE, "op9_bayes_minhash": near_dup.ORACLE}
