@@ -56,11 +56,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per word of all texts, and where each text's words start (one more entry than texts)."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts joined by a space; of every word its hash and where it ends there; where each text's words start
+    (one more entry than texts)."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    found, starts, lo = [], [], 0
+    found, starts, ends, lo = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while lo < len(data):
         hi = min(len(data), lo + SEGMENT)
         while hi < len(data) and not IS_SPACE[data[hi - 1]]:  # cut after white space
@@ -73,10 +74,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODE[part] * powers(BASE, len(part)))])
         found.append(mix((sums[last] - sums[first]) * powers(INVERSE, len(part) + 1)[first] + (last - first).astype(np.uint64)))
         starts.append(first + lo)
+        ends.append(last + lo)
         lo = hi
-    h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return h, np.searchsorted(at, offsets)
+    return data, np.concatenate(found), np.concatenate(ends), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word of all texts, and where each text's words start (one more entry than texts)."""
+    _, h, _, bounds = word_spans(texts)
+    return h, bounds
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

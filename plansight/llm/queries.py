@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, apportion, bloom_cascade, decontaminate, forest_ann, jump_shards, knn_quality, line_runs, near_dup
+from . import anchors, apportion, bloom_cascade, decontaminate, forest_ann, hpy, jump_shards, knn_quality, line_runs, near_dup
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.report(table(spark, sf_dir, "documents"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy.report(table(spark, sf_dir, "documents"))
+
+
 def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_cascade.report(table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
-    op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op5_block_anchors, op7_bloom_cascade,
+    op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op5_block_anchors, op6_pitman_yor, op7_bloom_cascade,
     op8_simhash_windows, op9_bayes_minhash, op10_knn_quality)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op5_block_anchors": anchors.ORACLE,
                            "op7_bloom_cascade": bloom_cascade.ORACLE, "op9_bayes_minhash": near_dup.ORACLE}
