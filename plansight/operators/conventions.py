@@ -89,30 +89,30 @@ SIGNALS = {
     },
 }
 
-# Reasons shown for convention events missing from the code.
-MISSING_REASONS_CONTAINS = [("signup", "No signup flow handler found"),
-                            ("email_verification", "No verification email trigger found"),
-                            ("onboarding_step", "Onboarding flow detected but steps not instrumented")]
-MISSING_REASONS_EXACT = [
-    ("onboarding_complete", "Onboarding complete handler not instrumented"),
-    ("subscription_trial_start", "Trial start not instrumented — required for conversion funnel"),
-    ("subscription_trial_convert", "Trial conversion not instrumented — key revenue event"),
-    ("subscription_trial_expire", "Trial expiry not instrumented — required for churn analysis"),
-    ("subscription_cancelled", "Cancellation flow not instrumented — required for churn analysis"),
-    ("subscription_upgraded", "Upgrade path not instrumented"),
-    ("subscription_downgraded", "Downgrade path not instrumented"),
-    ("payment_fail", "Payment failure handler not instrumented — required for revenue recovery"),
-]
-MISSING_REASONS_DOMAIN = {"billing": "Billing event not instrumented", "search": "Search event not instrumented",
-                          "collaboration": "Collaboration event not instrumented"}
-MISSING_REASONS_EXACT_2 = [
-    ("search_performed", "Search handler not instrumented"),
-    ("search_no_results", "Zero-results state not instrumented — key quality signal"),
-    ("search_result_clicked", "Result click not instrumented — needed for relevance analysis"),
-    ("member_invited", "Invitation flow not instrumented — required for PLG seat expansion"),
-    ("member_invite_accepted", "Invite acceptance not instrumented"),
-    ("workspace_created", "Workspace creation not instrumented"),
+# Reasons shown for convention events missing from the code; the first test that holds wins.
+MISSING_REASONS = [
+    ("name contains", "signup", "No signup flow handler found"),
+    ("name contains", "email_verification", "No verification email trigger found"),
+    ("name contains", "onboarding_step", "Onboarding flow detected but steps not instrumented"),
+    ("name is", "onboarding_complete", "Onboarding complete handler not instrumented"),
+    ("name is", "subscription_trial_start", "Trial start not instrumented — required for conversion funnel"),
+    ("name is", "subscription_trial_convert", "Trial conversion not instrumented — key revenue event"),
+    ("name is", "subscription_trial_expire", "Trial expiry not instrumented — required for churn analysis"),
+    ("name is", "subscription_cancelled", "Cancellation flow not instrumented — required for churn analysis"),
+    ("name is", "subscription_upgraded", "Upgrade path not instrumented"),
+    ("name is", "subscription_downgraded", "Downgrade path not instrumented"),
+    ("name is", "payment_fail", "Payment failure handler not instrumented — required for revenue recovery"),
+    ("domain is", "billing", "Billing event not instrumented"),
+    ("name is", "search_performed", "Search handler not instrumented"),
+    ("name is", "search_no_results", "Zero-results state not instrumented — key quality signal"),
+    ("name is", "search_result_clicked", "Result click not instrumented — needed for relevance analysis"),
+    ("domain is", "search", "Search event not instrumented"),
+    ("name is", "member_invited", "Invitation flow not instrumented — required for PLG seat expansion"),
+    ("name is", "member_invite_accepted", "Invite acceptance not instrumented"),
+    ("name is", "workspace_created", "Workspace creation not instrumented"),
+    ("domain is", "collaboration", "Collaboration event not instrumented"),
 ]
+NO_REASON = "Not found in codebase"
 
 
 def domain_activation(files: DataFrame) -> DataFrame:
@@ -139,32 +139,23 @@ def domain_activation(files: DataFrame) -> DataFrame:
 
 
 def missing_reason(domain: Column, name: Column) -> Column:
-    expr = None
-    for sub, txt in MISSING_REASONS_CONTAINS:
-        expr = F.when(name.contains(sub), txt) if expr is None else expr.when(name.contains(sub), txt)
-    for nm, txt in MISSING_REASONS_EXACT:
-        expr = expr.when(name == nm, txt)
-    expr = expr.when(domain == "billing", MISSING_REASONS_DOMAIN["billing"])
-    for nm, txt in MISSING_REASONS_EXACT_2[:3]:
-        expr = expr.when(name == nm, txt)
-    expr = expr.when(domain == "search", MISSING_REASONS_DOMAIN["search"])
-    for nm, txt in MISSING_REASONS_EXACT_2[3:]:
-        expr = expr.when(name == nm, txt)
-    return expr.when(domain == "collaboration", MISSING_REASONS_DOMAIN["collaboration"]).otherwise("Not found in codebase")
+    tests = {"name contains": name.contains, "name is": lambda v: name == v, "domain is": lambda v: domain == v}
+    return F.coalesce(*[F.when(tests[test](value), text) for test, value, text in MISSING_REASONS], F.lit(NO_REASON))
 
 
 def convention_coverage(conv_events: DataFrame, conv_attrs: DataFrame, detected: DataFrame,
-                        lines: DataFrame) -> DataFrame:
-    """J11 (+ F20 ``required_hint``): each convention event matched to the first location of the
+                        lines: DataFrame, domains: DataFrame) -> DataFrame:
+    """J11 (+ F20 ``required_hint``): per repo, each event of its domains matched to the first location of the
     detected event of the same (lower-cased) name, with the required
     attributes missing from that line and the five after it; or missing,
     with a reason and the required attribute list.
 
-    ``detected(repo, key, path, line_no)`` is the first location per name.
+    ``detected(repo, key, path, line_no)`` is the first location per name in
+    the repo; ``domains(repo, domain)`` the domains that apply to it.
     """
-    ce = conv_events.withColumn("_k", F.lower("name"))
+    ce = conv_events.withColumn("_k", F.lower("name")).join(domains, "domain")
     d = detected.select("repo", F.col("key").alias("_k"), "path", "line_no")
-    m = ce.join(d, "_k", "left")
+    m = ce.join(d, ["repo", "_k"], "left")
     req = conv_attrs.where("required")
     # attribute test on lines line_no .. line_no+5
     probe = m.where(F.col("path").isNotNull()).select("repo", "domain", "name", "path", "line_no")

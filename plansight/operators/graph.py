@@ -25,6 +25,8 @@ PRISMA_ANY = r"\bprisma\.([A-Za-z_][A-Za-z0-9_]*)\."
 API_ANY = r"""['"`]/api/([A-Za-z0-9_-]+)"""
 FK_TOKEN = r"\b([A-Za-z_][A-Za-z0-9_]*?)(Id|_id)\b"
 STATUS_ENUM = r"\benum\s+([A-Za-z_][A-Za-z0-9_]*Status)\s*\{([\s\S]*?)\}"
+STATE_ENUM = r"\benum\s+([A-Za-z_][A-Za-z0-9_]*(?i:Status|State))\s*\{([\s\S]*?)\}"
+STATE_TYPE = r"\btype\s+([A-Za-z_][A-Za-z0-9_]*(?:Status|State))\s*=\s*([^;]+);"
 STATUS_TYPE = r"\btype\s+([A-Za-z_][A-Za-z0-9_]*Status)\s*=\s*([^;]+);"
 ACTOR_USER = [r"req\.user\b|request\.user\b|session\.user\b", r"\buse(Auth|User|Session)\b"]
 ACTOR_SYSTEM = r"\bcron\b|\bschedule\b|\bsetInterval\b"
@@ -164,26 +166,33 @@ def hierarchy_props(objects_of_events: DataFrame, rel: DataFrame, paths: DataFra
     return u.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("todo", F.lit(True))
 
 
-def lifecycles_from_code(files: DataFrame, objects: DataFrame) -> DataFrame:
-    """``enum XStatus { … }`` and ``type XStatus = 'a' | 'b';`` on known
-    objects; states lower-cased, first occurrence order, deduplicated.
-    Enum bodies are split on comma or newline (the documented intent)."""
-    en = regex_matches(files, STATUS_ENUM, (1, 2)).select(
-        "repo", "path", "offset", F.regexp_replace("g1", "Status$", "").alias("object"),
-        F.transform(F.filter(F.transform(F.filter(F.transform(F.split("g2", r"[,\n]"), lambda s: F.trim(s)),
-                                                  lambda s: s != ""),
-                                         lambda s: F.trim(F.regexp_replace(s, "=.*", ""))),
-                             lambda s: s.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")), lambda s: F.lower(s)).alias("states"))
-    ty = regex_matches(files, STATUS_TYPE, (1, 2)).select(
-        "repo", "path", "offset", F.regexp_replace("g1", "Status$", "").alias("object"),
-        F.transform(F.filter(F.transform(F.split("g2", r"\|"),
-                                         lambda s: F.regexp_replace(F.trim(s), r"""^['"]|['"]$""", "")),
-                             lambda s: s.rlike(r"(?i)^[a-z0-9_-]{3,30}$")), lambda s: F.lower(s)).alias("states"))
-    x = en.withColumn("kind", F.lit(0)).unionByName(ty.withColumn("kind", F.lit(1)))
-    known = F.broadcast(objects.select(F.col("repo").alias("_r"), F.col("key").alias("_k")))
-    x = x.join(known, (x["repo"] == F.col("_r")) & (F.lower("object") == F.col("_k"))).drop("_r", "_k")
-    return x.where(F.size("states") > 0).select("repo", "path", "offset", "kind", "object",
-                                                F.array_distinct("states").alias("states"))
+def lifecycles_from_code(files: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """One lifecycle per object from ``enum XStatus { … }`` and ``type XStatus = 'a' | 'b';``.
+
+    With ``objects`` only known objects count and only the ``Status`` ending;
+    without, ``State`` is an ending too (in any case for enums). States are
+    lower-cased; those of several declarations are merged in the order of
+    file, enum before type, and place. Enum bodies are split on comma or
+    newline (the documented intent)."""
+    loose = objects is None
+    enum, alias = (STATE_ENUM, STATE_TYPE) if loose else (STATUS_ENUM, STATUS_TYPE)
+    ending = "(?i:Status|State)$" if loose else "Status$"
+    names = F.transform(F.split("g2", r"[,\n]"), lambda s: F.trim(F.regexp_replace(F.trim(s), "=.*", "")))
+    texts = F.transform(F.split("g2", r"\|"), lambda s: F.regexp_replace(F.trim(s), r"""^['"]|['"]$""", ""))
+
+    def declarations(pattern: str, kind: int, states: Column, valid: str) -> DataFrame:
+        return regex_matches(files, pattern, (1, 2)).select(
+            "repo", "path", "offset", F.lit(kind).alias("kind"), F.regexp_replace("g1", ending, "").alias("object"),
+            F.transform(F.filter(states, lambda s: s.rlike(valid)), lambda s: F.lower(s)).alias("states"))
+
+    x = declarations(enum, 0, names, r"^[A-Za-z_][A-Za-z0-9_]*$").unionByName(
+        declarations(alias, 1, texts, r"(?i)^[a-z0-9_-]{3,30}$")).where(F.size("states") > 0).withColumn("key", F.lower("object"))
+    if objects is not None:
+        x = x.join(objects.select("repo", "key"), ["repo", "key"], "left_semi")
+    # a group is the declarations of one object, each a line or two of code
+    declared = F.array_sort(F.collect_list(F.struct("path", "kind", "offset", "object", "states")))
+    return x.groupBy("repo", "key").agg(declared.alias("d")).select(
+        "repo", F.col("d")[0]["object"].alias("object"), F.array_distinct(F.flatten(F.col("d.states"))).alias("states"))
 
 
 def lifecycle_edges(states: DataFrame) -> DataFrame:

@@ -247,12 +247,16 @@ def entity_quality(entity: Column) -> Column:
             .when(F.length(bare) >= 5, 0.1).when(F.length(bare) >= 3, 0.08).otherwise(0.05))
 
 
+# Fixed value: a call of an HTTP client method with a literal address.
+HTTP_CALL = r"""\b(post|put|patch|delete)\s*\(\s*['"`]"""
+
+
 def interaction_type_score(hint: Column, path: Column) -> Column:
     h = F.coalesce(hint, F.lit(""))
     return (F.when(h.rlike(r"(?i)\bonSubmit\b"), 0.15)
             .when(h.rlike(r"(?i)\bonClick\b") & h.rlike(r"handle[A-Z]"), 0.12)
             .when(h.rlike(r"\buseMutation\b"), 0.12)
-            .when(h.rlike(r"\bexport\s+function\s+(POST|PUT|PATCH|DELETE)\b") | h.rlike(r"""\b(post|put|patch|delete)\s*\(\s*['"`]"""), 0.1)
+            .when(h.rlike(r"\bexport\s+function\s+(POST|PUT|PATCH|DELETE)\b") | h.rlike(HTTP_CALL), 0.1)
             .when(h.rlike(r"\.(create|insert|update|delete|upsert|remove)\s*\("),
                   F.when(path.rlike(r"(?i)/(lib|utils?|helpers?)/"), 0.08).otherwise(0.1))
             .when(h.rlike(r"(?i)\bonClick\b"), 0.05)

@@ -26,7 +26,8 @@ def snake_from_camel(x: str) -> str:
 
 def snake_from_words(lst: str) -> str:
     w = f"list_filter(list_transform({lst}, lambda s: trim(s)), lambda s: s <> '')"
-    return f"lower({rx_replace(f'array_to_string({w}, {q(chr(95))})', r'__+', '_')})"
+    joined = f"array_to_string({w}, '_')"
+    return f"lower({rx_replace(joined, r'__+', '_')})"
 
 
 def pascal_keep_tail(x: str) -> str:

@@ -14,6 +14,9 @@ from .catalog import query
 from .q_corpus import CL, INV_DUCK
 
 
+REASON_TESTS = {"name contains": "contains(e.name, {})", "name is": "e.name = {}", "domain is": "e.domain = {}"}
+
+
 def conv_attrs(spark):
     return T.dim(spark, fx.CONV_ATTRS_SQL).withColumn("values", F.split("values_list", r"\|")).drop("values_list")
 
@@ -63,26 +66,26 @@ SELECT m.repo, m.domain, m.name, 'matched' AS state, m.path || ':' || CAST(m.lin
 FROM m LEFT JOIN miss ON miss.repo = m.repo AND miss.domain = m.domain AND miss.name = m.name
 LEFT JOIN hn ON hn.event_name = m.name
 UNION ALL
-SELECT CAST(NULL AS VARCHAR), e.domain, e.name, 'missing', NULL, coalesce(rl.req, ''),
-  CASE {" ".join(f"WHEN contains(e.name, {D.q(a)}) THEN {D.q(b)}" for a, b in CV.MISSING_REASONS_CONTAINS)}
-       {" ".join(f"WHEN e.name = {D.q(a)} THEN {D.q(b)}" for a, b in CV.MISSING_REASONS_EXACT)}
-       WHEN e.domain = 'billing' THEN {D.q(CV.MISSING_REASONS_DOMAIN['billing'])}
-       {" ".join(f"WHEN e.name = {D.q(a)} THEN {D.q(b)}" for a, b in CV.MISSING_REASONS_EXACT_2[:3])}
-       WHEN e.domain = 'search' THEN {D.q(CV.MISSING_REASONS_DOMAIN['search'])}
-       {" ".join(f"WHEN e.name = {D.q(a)} THEN {D.q(b)}" for a, b in CV.MISSING_REASONS_EXACT_2[3:])}
-       WHEN e.domain = 'collaboration' THEN {D.q(CV.MISSING_REASONS_DOMAIN['collaboration'])}
-       ELSE 'Not found in codebase' END, CAST(NULL AS VARCHAR)
-FROM conv_events e LEFT JOIN rl ON rl.event_name = e.name
-WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.k = lower(e.name))""")
+SELECT repos.repo, e.domain, e.name, 'missing', NULL, coalesce(rl.req, ''),
+  CASE {" ".join(f"WHEN {REASON_TESTS[t].format(D.q(v))} THEN {D.q(x)}" for t, v, x in CV.MISSING_REASONS)}
+       ELSE {D.q(CV.NO_REASON)} END, CAST(NULL AS VARCHAR)
+FROM conv_events e CROSS JOIN (SELECT DISTINCT repo FROM code_lines) repos LEFT JOIN rl ON rl.event_name = e.name
+WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.repo = repos.repo AND f.k = lower(e.name))""")
 def q_convention_coverage(spark, sf_dir):
-    """Convention events matched in the corpus (with missing required
-    attributes near the call) or missing (with the reason)."""
+    """Per repo, convention events matched in the corpus (with missing
+    required attributes near the call) or missing (with the reason). Every
+    repo is taken to have all domains; ``domain_activation`` finds the active
+    ones where signals exist."""
     lines, files = S.corpus_tables(spark, sf_dir)
     calls = K.inventory_calls(files)
     order = F.struct("path", "pattern_no", "offset")
     first = calls.groupBy("repo", F.lower("name").alias("key")).agg(
         F.min_by("path", order).alias("path"), F.min_by("line_no", order).alias("line_no"))
-    return CV.convention_coverage(T.dim(spark, fx.CONV_EVENTS_SQL), conv_attrs(spark), first, lines)
+    conv = T.dim(spark, fx.CONV_EVENTS_SQL)
+    # repos x domains: two small dimensions
+    every = conv.select(F.collect_set("domain").alias("d"))
+    domains = lines.select("repo").distinct().select("repo", F.explode(every.scalar()).alias("domain"))
+    return CV.convention_coverage(conv, conv_attrs(spark), first, lines, domains)
 
 
 @query("convention_payload_check", oracle=fx.with_ctes(fx.EVENTS_CTE, fx.cte("conv_attrs", fx.CONV_ATTRS_SQL)) + """,

@@ -128,7 +128,7 @@ def _itype_d(h, p):
             f"WHEN regexp_matches({h}, '(?i)\\bonClick\\b') AND regexp_matches({h}, 'handle[A-Z]') THEN 0.12 "
             f"WHEN regexp_matches({h}, '\\buseMutation\\b') THEN 0.12 "
             f"WHEN regexp_matches({h}, '\\bexport\\s+function\\s+(POST|PUT|PATCH|DELETE)\\b') "
-            f"OR regexp_matches({h}, {D.q(chr(92) + 'b(post|put|patch|delete)' + chr(92) + 's*' + chr(92) + '(' + chr(92) + 's*[' + chr(39) + '\"`]')}) THEN 0.1 "
+            f"OR regexp_matches({h}, {D.q(Y.HTTP_CALL)}) THEN 0.1 "
             f"WHEN regexp_matches({h}, '\\.(create|insert|update|delete|upsert|remove)\\s*\\(') THEN "
             f"(CASE WHEN regexp_matches({p}, '(?i)/(lib|utils?|helpers?)/') THEN 0.08 ELSE 0.1 END) "
             f"WHEN regexp_matches({h}, '(?i)\\bonClick\\b') THEN 0.05 "

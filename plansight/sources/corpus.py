@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Default include / ignore rules of the corpus loader.
 DEFAULT_INCLUDE = r"\.(ts|tsx|js|jsx|md)$|(^|/)package\.json$"
-DEFAULT_EXCLUDE = r"(^|/)(node_modules|\.next|dist|build|\.git|coverage|conventions|\.logline)/"
+DEFAULT_EXCLUDE = r"(^|/)(node_modules|\.next|dist|build|\.git|coverage|conventions)/"
 SOURCE_EXT = r"\.(ts|tsx|js|jsx)$"
 SKIP_DIR_SUBSTRINGS = ["node_modules", "dist", "build"]
 

@@ -295,3 +295,24 @@ def test_merge_proposals(spark):
     # proposal) and gets its rule-based name; index 3 was skipped
     assert got == {"team_formed": ("a.tsx", 9, "critical", "action", "Business interaction: team_formed", 2),
                    "team_deleted": ("a.tsx", 12, "medium", "action", "click_handler: handleDeleteTeam", 1)}
+
+
+def test_lifecycles_merge_per_object_and_state_variant(spark):
+    code = ("enum OrderStatus { Draft, Open = 2 }\ntype OrderStatus = 'paid' | 'open' | \"closed\";\n"
+            "type orderStatus = 'late_one';\nenum TicketSTATE { NEW, new, done }\ntype TicketState = 'gone';\nenum Colour { RED }\n")
+    files = spark.createDataFrame([("r", "b.ts", code), ("r", "a.ts", "enum OrderStatus { First }"), ("q", "a.ts", "type TaskStatus = 'todo';")],
+                                  "repo string, path string, content string")
+    objects = spark.createDataFrame([("r", "order"), ("q", "order")], "repo string, key string")
+    known = {(r.repo, r.object): list(r.states) for r in G.lifecycles_from_code(files, objects).collect()}
+    assert known == {("r", "Order"): ["first", "draft", "open", "paid", "closed", "late_one"]}
+    every = {(r.repo, r.object): list(r.states) for r in G.lifecycles_from_code(files).collect()}
+    assert every == known | {("r", "Ticket"): ["new", "done", "gone"], ("q", "Task"): ["todo"]}
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from plansight.session import ensure_checkpoint_dir
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(far)
