@@ -7,14 +7,17 @@ aggregate before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import carry, top_n
+
 
 def _since(events: DataFrame, days: int, as_of: Column | None, time_col: str) -> Column:
-    if as_of is None:
-        as_of = events.agg(F.max(time_col)).scalar()
-    return F.col(time_col) >= as_of - F.make_dt_interval(F.lit(days))
+    """``time_col >= bound`` with the bound as one scalar, so the comparison reaches the scan."""
+    span = F.make_dt_interval(F.lit(days))
+    bound = events.agg(F.max(time_col) - span).scalar() if as_of is None else as_of - span
+    return F.col(time_col) >= bound
 
 
 def event_counts(events: DataFrame, days: int = 30, as_of: Column | None = None,
@@ -42,18 +45,10 @@ def recent_events(events: DataFrame, n: int = 50, per: str = "repo_id",
                   time_col: str = "received_at") -> DataFrame:
     """The ``n`` most recent events of every repo (ties by event id).
 
-    ``row_number`` over a per-repo window would put a hot repo into one task;
-    instead every input partition keeps only its own top ``n`` per repo
-    (a bounded, map-side cut), and only those candidates are shuffled.
+    Spark cuts every input partition to its own ``n`` per repo before the
+    shuffle, so a hot repo is no single task.
     """
-    order = [F.col(time_col).desc(), F.col("event_id").desc()]
-    w = Window.partitionBy(per).orderBy(*order)
-    local = (events.withColumn("_pid", F.spark_partition_id())
-             .withColumn("_r", F.row_number().over(
-                 Window.partitionBy(per, "_pid").orderBy(*order)))
-             .where(F.col("_r") <= n).drop("_r", "_pid"))
-    return (local.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= n))
+    return top_n(events, [per], [F.col(time_col).desc(), F.col("event_id").desc()], n)
 
 
 def retention_cleanup(claims: DataFrame, time_col: str, days: int,
@@ -69,14 +64,14 @@ def state_transitions(df: DataFrame, entity: str, state: str, time_col: str,
                       object_name: str | None = None) -> DataFrame:
     """Counts of observed state -> next state transitions per entity.
 
-    ``lead`` over (entity ordered by time) pairs each state with the next one
-    of the same entity; transitions are then counted. If ``declared`` states
-    (object, ord, state) are given, each side is flagged when it lies outside
-    the declared lifecycle.
+    Each state is paired with the next one of the same entity, carried back
+    over time buckets so that a hot entity is no single task; transitions are
+    then counted. If ``declared`` states (object, ord, state) are given, each
+    side is flagged when it lies outside the declared lifecycle.
     """
-    w = Window.partitionBy(entity).orderBy(time_col, tiebreak)
-    pairs = (df.select(entity, time_col, tiebreak, F.col(state).alias("from_state"))
-             .withColumn("to_state", F.lead("from_state").over(w))
+    rows = df.select(entity, time_col, tiebreak, F.struct(F.col(state).alias("s")).alias("at"))
+    pairs = (carry(rows, [entity], [time_col, tiebreak], "at", "then", direction="backward", inclusive=False)
+             .select(F.col("at.s").alias("from_state"), F.col("then.s").alias("to_state"))
              .where(F.col("to_state").isNotNull()))
     out = (pairs.groupBy("from_state", "to_state")
            .agg(F.count(F.lit(1)).alias("n_transitions")))

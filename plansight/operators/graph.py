@@ -100,7 +100,7 @@ def fk_relationships(files: DataFrame, objects: DataFrame) -> DataFrame:
     (child, parent), first occurrence kept for ordering."""
     toks = regex_matches(files, FK_TOKEN, (1,)).select(
         "repo", "path", "offset", N.pascal_keep_tail(F.regexp_replace("g1", "_+$", "")).alias("parent"))
-    known = F.broadcast(objects.select(F.col("repo").alias("_r"), F.col("key").alias("_k")))
+    known = objects.select(F.col("repo").alias("_r"), F.col("key").alias("_k"))
     toks = toks.join(known, (toks["repo"] == F.col("_r")) & (F.lower("parent") == F.col("_k"))).drop("_r", "_k")
     prim = primary_object(files, objects)
     e = toks.join(prim, ["repo", "path"]).where(F.col("child").isNotNull())

@@ -45,9 +45,10 @@ def _window_text(rows: DataFrame, lines: DataFrame, lo, hi, out: str) -> DataFra
 def status_transitions(files: DataFrame, lines: DataFrame) -> DataFrame:
     """C14: runtime status transitions for every status of the fixed set."""
     parts = []
+    named = files.where(F.col("content").contains("status"))  # every pattern holds the word
     for si, s in enumerate(STATUSES):
         for pi, (pname, pat, bonus) in enumerate(TRANSITION_PATTERNS):
-            m = regex_matches(files, pat.replace("{s}", s))
+            m = regex_matches(named, pat.replace("{s}", s))
             parts.append(m.select("repo", "path", "match_no", "line_no", F.lit(s).alias("status"),
                                   F.lit(pname).alias("pattern"), F.lit(pi).alias("pattern_no"), F.lit(bonus).alias("_bonus")))
     m = reduce(lambda a, b: a.unionByName(b), parts)
@@ -81,23 +82,18 @@ def best_locations(gaps: DataFrame, files: DataFrame, lines: DataFrame) -> DataF
     need = g.where(F.col("path").isNull() | (F.col("path") == "unknown") | (F.col("line_no") == 0))
     tg = need.select("t_repo", "name", F.regexp_extract("name", STATUS_SUFFIX, 1).alias("status"),
                      F.regexp_replace("name", r"_\w+$", "").alias("entity")).where(F.col("status") != "")
-    if tg.isEmpty():
-        # nothing to look up: skip the fifteen transition scans of the corpus
-        st = tg.select("t_repo", "name", F.lit(None).cast("string").alias("s_path"),
-                       F.lit(None).cast("int").alias("s_line"), F.lit(None).cast("double").alias("s_conf"))
-    else:
-        tr = status_transitions(files, lines)
-        ranked = rank_for_entity(tr, tg).where(F.col("rank") == 1)
-        st = ranked.select("t_repo", "name", F.col("path").alias("s_path"), F.col("line_no").alias("s_line"),
-                           F.col("confidence").alias("s_conf"))
+    tr = status_transitions(files, lines)
+    ranked = rank_for_entity(tr, tg).where(F.col("rank") == 1)
+    st = ranked.select("t_repo", "name", F.col("path").alias("s_path"), F.col("line_no").alias("s_line"),
+                       F.col("confidence").alias("s_conf"))
     nl = F.lower(F.col("name"))
     order = 0
     parts = []
     for words, pred, conf in INFER_RULES:
         cond = reduce(lambda a, b: a | b, [nl.contains(w) for w in words])
-        cand = need.where(cond).join(files.select(F.col("repo").alias("t_repo"), F.col("path").alias("f_path")), "t_repo") \
-            .where(pred(F.col("f_path")))
-        parts.append(cand.groupBy("t_repo", "name").agg(F.min("f_path").alias("i_path"))
+        # one path per repo and rule before the join
+        first = files.where(pred(F.col("path"))).groupBy(F.col("repo").alias("t_repo")).agg(F.min("path").alias("i_path"))
+        parts.append(need.where(cond).select("t_repo", "name").distinct().join(first, "t_repo")
                      .withColumn("_rule", F.lit(order)).withColumn("i_conf", F.lit(conf)))
         order += 1
     inferred = reduce(lambda a, b: a.unionByName(b), parts)

@@ -97,11 +97,8 @@ def prefix_sum(df: DataFrame, entity: list[str], order: list[str], value: Column
 
 
 def top_n(df: DataFrame, keys: list[str], order: list, n: int, out: str = "rank") -> DataFrame:
-    """First ``n`` rows per group in ``order`` without sending a whole group
-    to one task: every input partition first keeps only its own first ``n``
-    per group (a bounded, map-side cut), then the survivors are ranked."""
-    local = (df.withColumn("_pid", F.spark_partition_id())
-             .withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(*order)))
-             .where(F.col("_r") <= n).drop("_r", "_pid"))
-    return local.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))) \
+    """First ``n`` rows per group in ``order``. Spark cuts each input partition
+    to its own first ``n`` per group before the shuffle (WindowGroupLimit), so
+    a group is never sent whole to one task."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))) \
         .where(F.col(out) <= n)

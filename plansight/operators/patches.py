@@ -65,7 +65,12 @@ def anchor_lines(events: DataFrame, added: DataFrame) -> DataFrame:
         F.min_by("line_no", F.struct(F.abs(F.col("line_no") - F.col("src_line")), F.col("line_no"))).alias("anchor_line"))
 
 
-def cap_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """T4: the first ``n`` rows of each group in ``order``."""
+def ranked(df: DataFrame, keys: list[str], order: list, n: int | None = None) -> DataFrame:
+    """T4: rows with their ``rank`` in the group; with ``n`` only the first n, and ``n_more``, how many follow."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = df.withColumn("rank", F.row_number().over(w)).join(total, keys)
+    if n is not None:
+        out = out.where(F.col("rank") <= n)
+    more = F.lit(0).cast("long") if n is None else F.greatest(F.col("_n") - n, F.lit(0))
+    return out.withColumn("n_more", more).drop("_n")

@@ -276,8 +276,7 @@ def score(events: DataFrame, objects: DataFrame, xref: DataFrame) -> DataFrame:
     entity exactly (.3) or partially (.2), as the reference does."""
     ev = events.withColumn("entity", N.entity_of_scored(F.col("name")))
     en = F.lower(F.regexp_replace("entity", "_", ""))
-    ob = F.broadcast(objects.select(F.col("repo").alias("_or"), F.lower(F.regexp_replace("name", "_", "")).alias("_on"),
-                                    F.col("ord").alias("_oo")))
+    ob = objects.select(F.col("repo").alias("_or"), F.lower(F.regexp_replace("name", "_", "")).alias("_on"), F.col("ord").alias("_oo"))
     cand = (ev.select("repo", "entity").distinct().withColumn("_en", en)
             .join(ob, (F.col("repo") == F.col("_or"))
                   & ((F.col("_on") == F.col("_en"))

@@ -13,16 +13,16 @@ EV = fx.EVENTS_CTE
 PLAN = fx.cte("plan_events", fx.PLAN_EVENTS_SQL)
 REPOS = fx.cte("repos", fx.REPOS_SQL)
 
-# A1 over the dashboard's 30-day window, relative to the newest arrival.
-COUNTS_30D = """c AS (
+# A1 over seven days before the newest arrival (the data spans 30, so the window cuts).
+COUNTS_7D = """c AS (
   SELECT repo_id, event_name, count(*) AS n_events, max(received_at) AS last_seen
   FROM ev
-  WHERE received_at >= (SELECT max(received_at) FROM ev) - INTERVAL 30 DAY
+  WHERE received_at >= (SELECT max(received_at) FROM ev) - INTERVAL 7 DAY
   GROUP BY repo_id, event_name
 )"""
 
 
-@query("plan_vs_actual", oracle=fx.with_ctes(EV, PLAN, COUNTS_30D, """ck AS (
+@query("plan_vs_actual", oracle=fx.with_ctes(EV, PLAN, COUNTS_7D, """ck AS (
   SELECT repo_id, lower(event_name) AS k, sum(n_events) AS n_events, max(last_seen) AS last_seen
   FROM c GROUP BY 1, 2)""") + """
 SELECT p.repo_id, p.ord, p.name, p.status, p.priority,
@@ -30,7 +30,7 @@ SELECT p.repo_id, p.ord, p.name, p.status, p.priority,
        (p.status = 'implemented' AND ck.n_events IS NULL) AS missing
 FROM plan_events p LEFT JOIN ck ON ck.repo_id = p.repo_id AND ck.k = lower(p.name)""")
 def q_plan_vs_actual(spark, sf_dir):
-    counts = ev_ops.event_counts(T.events(spark, sf_dir), days=30)
+    counts = ev_ops.event_counts(T.events(spark, sf_dir), days=7)
     return drift.plan_vs_actual(T.plan_events(spark), counts)
 
 
@@ -43,14 +43,14 @@ def q_event_counts(spark, sf_dir):
     return ev_ops.event_counts(T.events(spark, sf_dir), days=7)
 
 
-@query("event_totals", oracle=fx.with_ctes(EV, COUNTS_30D) + """
+@query("event_totals", oracle=fx.with_ctes(EV, COUNTS_7D) + """
 SELECT repo_id, CAST(sum(n_events) AS BIGINT) AS total_events, count(*) AS distinct_names
 FROM c GROUP BY repo_id""")
 def q_event_totals(spark, sf_dir):
-    return ev_ops.event_totals(ev_ops.event_counts(T.events(spark, sf_dir), days=30))
+    return ev_ops.event_totals(ev_ops.event_counts(T.events(spark, sf_dir), days=7))
 
 
-@query("seen_coverage", oracle=fx.with_ctes(EV, PLAN, REPOS, COUNTS_30D, """impl AS (
+@query("seen_coverage", oracle=fx.with_ctes(EV, PLAN, REPOS, COUNTS_7D, """impl AS (
   SELECT repo_id, name FROM plan_events WHERE status = 'implemented'),
 ni AS (SELECT repo_id, count(*) AS implemented FROM impl GROUP BY 1),
 ns AS (SELECT repo_id, count(*) AS seen FROM impl i
@@ -64,17 +64,17 @@ SELECT r.repo_id, CAST(coalesce(ni.implemented, 0) AS BIGINT) AS implemented,
        END AS coverage_pct
 FROM repos r LEFT JOIN ni ON ni.repo_id = r.repo_id LEFT JOIN ns ON ns.repo_id = r.repo_id""")
 def q_seen_coverage(spark, sf_dir):
-    counts = ev_ops.event_counts(T.events(spark, sf_dir), days=30)
+    counts = ev_ops.event_counts(T.events(spark, sf_dir), days=7)
     return drift.seen_coverage(T.plan_events(spark), counts, T.repos(spark))
 
 
-@query("unplanned_events", oracle=fx.with_ctes(EV, PLAN, COUNTS_30D) + """
+@query("unplanned_events", oracle=fx.with_ctes(EV, PLAN, COUNTS_7D) + """
 SELECT c.repo_id, c.event_name, c.n_events, c.last_seen
 FROM c
 WHERE NOT EXISTS (SELECT 1 FROM plan_events p
                   WHERE p.repo_id = c.repo_id AND lower(p.name) = c.event_name)""")
 def q_unplanned_events(spark, sf_dir):
-    counts = ev_ops.event_counts(T.events(spark, sf_dir), days=30)
+    counts = ev_ops.event_counts(T.events(spark, sf_dir), days=7)
     return drift.unplanned_events(counts, T.plan_events(spark))
 
 

@@ -80,11 +80,12 @@ def q_corpus_delta(spark, sf_dir):
 
 
 @query("corpus_fingerprint", oracle=FP_DUCK + """
-SELECT repo, sha256(string_agg(path || '|' || content_hash, chr(10) ORDER BY path || '|' || content_hash)) AS corpus_hash,
-       count(*) AS n_files
-FROM cur GROUP BY repo""")
+SELECT repo, sha256(string_agg(part || '|' || h, chr(10) ORDER BY part || '|' || h)) AS corpus_hash, sum(n) AS n_files
+FROM (SELECT repo, substr(md5(path), 1, 3) AS part, count(*) AS n,
+             sha256(string_agg(path || '|' || content_hash, chr(10) ORDER BY path || '|' || content_hash)) AS h
+      FROM cur GROUP BY 1, 2) GROUP BY repo""")
 def q_corpus_fingerprint(spark, sf_dir):
-    """One content hash per repo over its sorted ``path|hash`` list."""
+    """One content hash per repo, in two levels over its ``path|hash`` entries."""
     cur, _ = snapshots(spark, sf_dir)
     return S.corpus_hash(S.fingerprints(cur))
 

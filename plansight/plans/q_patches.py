@@ -109,13 +109,12 @@ def q_patch_anchor(spark, sf_dir):
 @query("pr_gap_report")
 def q_pr_gap_report(spark, sf_dir):
     """Events synthesized from a PR's new interactions, minus names the
-    repo rejected, at most 20 per PR (rows-only; each step has its own
-    oracle-checked query)."""
+    repo rejected, ranked per PR (rows-only; each step has its own oracle-checked
+    query). ``patches.ranked`` takes a cap for a comment of limited length."""
     inter, added = pr_interactions(spark, sf_dir)
     new = PT.new_interactions(inter, added)
     scoped = new.withColumn("repo", F.concat_ws("#", "repo", F.col("pr").cast("string"))).drop("pr")
     ev = Y.synthesize(scoped)
     ev = ev.withColumn("pr", F.split("repo", "#")[1].cast("int")).withColumn("repo", F.split("repo", "#")[0])
     kept = FB.suppress_rejected(ev, feedback_facts(spark, sf_dir))
-    return PT.cap_per_group(kept, ["repo", "pr"], ["pos"], 20).select("repo", "pr", "rank", "name", "path", "line_no",
-                                                                     "priority")
+    return PT.ranked(kept, ["repo", "pr"], ["pos"]).select("repo", "pr", "rank", "n_more", "name", "path", "line_no", "priority")

@@ -71,14 +71,16 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
 
 def corpus_hash(fp: DataFrame) -> DataFrame:
-    """One hash per repo over its sorted ``path|hash`` list.
+    """One hash per repo over its files' ``path|hash`` entries.
 
-    The list is per repo (one entry per file), built from fingerprints only.
+    Two levels, so no group holds a whole repo: a hash per 1/4096 of the paths
+    (by their md5), then a hash of those hashes in order.
     """
-    return (fp.groupBy("repo")
-            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list(
-                F.concat_ws("|", "path", "content_hash"))), "\n"), 256).alias("corpus_hash"),
-                F.count(F.lit(1)).alias("n_files")))
+    entries = F.array_sort(F.collect_list(F.concat_ws("|", "path", "content_hash")))
+    parts = fp.groupBy("repo", F.substring(F.md5("path"), 1, 3).alias("part")).agg(
+        F.sha2(F.array_join(entries, "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    listed = F.array_sort(F.collect_list(F.concat_ws("|", "part", "h")))
+    return parts.groupBy("repo").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("corpus_hash"), F.sum("n").alias("n_files"))
 
 
 def changed_files(current: DataFrame, previous_fp: DataFrame) -> DataFrame:

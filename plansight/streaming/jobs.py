@@ -64,9 +64,9 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, fmt: str = "par
 
 
 def run_upsert(df: DataFrame, sink: str, checkpoint: str) -> None:
-    """Update-mode aggregation into an append-only, batch-tagged parquet sink."""
+    """Update-mode aggregation into a sink with a folder per batch; a batch that is replayed overwrites its folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_no={batch_id}")
     (df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
      .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
 
@@ -74,8 +74,8 @@ def run_upsert(df: DataFrame, sink: str, checkpoint: str) -> None:
 def read_upserted(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
     """Last version of every key in an upserting sink."""
     df = spark.read.parquet(sink)
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_batch")
+    w = Window.partitionBy(*keys).orderBy(F.col("batch_no").desc())
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "batch_no")
 
 
 def with_event_time(df: DataFrame, col: str = "ts", out: str = "event_time") -> DataFrame:

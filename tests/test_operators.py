@@ -316,3 +316,12 @@ def test_cluster_needs_a_shared_folder():
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(far)
+
+
+def test_ranked_reports_what_a_cap_leaves_out(spark):
+    from plansight.operators import patches as PT
+    df = spark.createDataFrame([("r", 1, i) for i in range(25)] + [("r", 2, 0)], "repo string, pr int, pos int")
+    every = PT.ranked(df, ["repo", "pr"], ["pos"])
+    assert every.count() == 26 and {r["n_more"] for r in every.collect()} == {0}
+    cut = PT.ranked(df, ["repo", "pr"], ["pos"], 20).collect()
+    assert len(cut) == 21 and {(r["pr"], r["n_more"]) for r in cut} == {(1, 5), (2, 0)}
