@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Orders of a later class start here: no plan, file or object has so many entries of an earlier one.
+LATER = 1 << 40
+
+
 def at(container, key) -> Column:
     """Element of an array (1-based, negative from the end) or map value;
     NULL - not an error under ANSI mode - when the index or key is absent."""

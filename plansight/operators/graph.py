@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.util import LATER
 from ..functions.util import at as _at
 
 from ..functions import names as N
@@ -160,7 +161,7 @@ def hierarchy_props(objects_of_events: DataFrame, rel: DataFrame, paths: DataFra
     grand = gp.select("repo", "event_name", F.concat("_gs", F.lit("_id")).alias("prop"), F.lit("string").alias("type"),
                       F.lit(False).alias("required"),
                       F.concat(F.lit("ID of the grandparent "), "gp", F.lit(" (for cross-entity correlation)")).alias("description"),
-                      F.lit(1_000_000).cast("bigint").alias("ord"))
+                      F.lit(LATER).alias("ord"))
     u = direct.unionByName(grand)
     w = Window.partitionBy("repo", "event_name", "prop").orderBy("ord")
     return u.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("todo", F.lit(True))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.util import LATER
 from ..functions.util import at as _at
 
 from ..functions import names as N
@@ -49,7 +50,7 @@ def generate_metrics(plan: DataFrame, lifecycle_objects: DataFrame) -> DataFrame
                              "obj", F.lit("_created'), 0)")).alias("formula"),
                     F.array(F.concat("obj", F.lit("_created")), F.concat("obj", F.lit("_completed"))).alias("events"),
                     F.lit("activation").alias("category"), F.lit("weekly").alias("grain"),
-                    (F.lit(1_000_000) + F.dense_rank().over(Window.partitionBy("repo_id").orderBy("obj"))).cast("bigint").alias("_seq")))
+                    (F.lit(LATER) + F.dense_rank().over(Window.partitionBy("repo_id").orderBy("obj"))).cast("bigint").alias("_seq")))
     allm = counts.unionByName(conv)
     w = Window.partitionBy("repo_id", F.lower("metric")).orderBy(F.col("_seq").desc())
     return (allm.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions.util import LATER
 from ..functions.util import at as _at
 from .corpus import brace_depth
 
@@ -139,7 +140,7 @@ def scope_variables(lines: DataFrame, targets: DataFrame) -> DataFrame:
     tp = t.join(sig, ["repo", "path", "_start"], "left")
     params = tp.where(F.col("_start").isNotNull()).select(
         "repo", "path", "line_no", F.posexplode(parameters(F.col("_sig"))).alias("_pos", "v"),
-        F.col("_start").alias("decl_line")).withColumn("_pos", F.col("_pos") - 1_000_000)
+        F.col("_start").alias("decl_line")).withColumn("_pos", F.col("_pos").cast("long") - LATER)
     rng = tp.withColumn("_l", F.explode(F.sequence(F.coalesce("_start", F.lit(1)), F.col("line_no") - 1))) \
         .where((F.col("_l") < F.col("line_no")) & (F.col("_l") >= F.coalesce("_start", F.lit(1))))
     dl = rng.join(d.select("repo", "path", F.col("line_no").alias("_l"), "text", F.col("depth").alias("_d")),
@@ -197,7 +198,7 @@ def infer_properties(events: DataFrame, scope: DataFrame, rel: DataFrame, paths:
     direct = par.select("repo", "event_name", F.concat("_ps", F.lit("_id")).alias("prop"), F.lit(True).alias("required"),
                         F.coalesce(F.concat("_pvar", F.lit(".id")), F.concat("_ps", F.lit("?.id"))).alias("access_path"),
                         F.col("_pvar").isNotNull().alias("verified"), F.col("_pvar").isNull().alias("todo"),
-                        (F.lit(1000) + F.col("_po")).alias("ord"))
+                        (F.col("_po").cast("long") + LATER).alias("ord"))
     # grandparent from the first join path of two or more hops
     lp = paths.where(F.col("hops") >= 2).select(F.col("repo").alias("_pr"), F.lower("from").alias("_f"), "to", "hops", "ords")
     gp = ev.join(lp, (ev["repo"] == F.col("_pr")) & (F.lower(N.pascal_keep_tail(F.col("_obj"))) == F.col("_f")))
@@ -210,7 +211,7 @@ def infer_properties(events: DataFrame, scope: DataFrame, rel: DataFrame, paths:
     grand = gp.select("repo", "event_name", F.concat("_gs", F.lit("_id")).alias("prop"), F.lit(False).alias("required"),
                       F.coalesce(F.concat("_gvar", F.lit(".id")), F.concat("_gs", F.lit("?.id"))).alias("access_path"),
                       F.col("_gvar").isNotNull().alias("verified"), F.col("_gvar").isNull().alias("todo"),
-                      F.lit(2000).alias("ord"))
+                      F.lit(2 * LATER).alias("ord"))
     # user_id
     us = sv.where(F.col("_v").isin(*USER_VARS)).groupBy("repo", "path", "line_no").agg(
         F.min_by(F.struct("_v", "access_path"), "ord").alias("_u"))
@@ -286,7 +287,7 @@ def code_properties(interactions: DataFrame, files: DataFrame) -> DataFrame:
     usage = F.regexp_extract_all(F.col("content"), F.concat(F.lit("\\b"), F.col("_uarg"), F.lit("\\.([a-zA-Z][a-zA-Z0-9_]*)")), 1)
     untyped = untyped.select("repo", "path", "_uarg", F.posexplode(usage).alias("ord", "prop")) \
         .where(~F.col("prop").isin(*SKIP_PROPS)).select(
-            "repo", "path", (F.col("ord") + 10_000).alias("ord"), "prop", F.lit("string").alias("type"),
+            "repo", "path", (F.col("ord").cast("long") + LATER).alias("ord"), "prop", F.lit("string").alias("type"),
             F.lit(True).alias("required"), F.concat(F.lit("from "), "_uarg", F.lit(" usage")).alias("description"),
             F.concat("_uarg", F.lit("."), "prop").alias("access_path"))
     file_props = typed.unionByName(untyped)
@@ -294,7 +295,7 @@ def code_properties(interactions: DataFrame, files: DataFrame) -> DataFrame:
                              _at(F.col("entities"), 1).alias("_entity"))
     a = it.join(file_props, ["repo", "path"])
     db = it.join(per_file.where("_db").select("repo", "path"), ["repo", "path"]).where(F.col("_entity").isNotNull()).select(
-        "repo", "path", "function_name", "_line", "_entity", F.lit(1_000_000).alias("ord"),
+        "repo", "path", "function_name", "_line", "_entity", F.lit(2 * LATER).alias("ord"),
         F.concat("_entity", F.lit("_id")).alias("prop"), F.lit("string").alias("type"), F.lit(False).alias("required"),
         F.lit("from insert return data").alias("description"), F.lit("data?.id").alias("access_path"))
     u = a.unionByName(db)

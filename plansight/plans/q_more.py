@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.util import LATER
 from ..operators import conventions as CV
 from ..session import scratch_path
 from ..sources import corpus as S
@@ -31,7 +32,7 @@ SELECT coalesce(ex.repo_id, nw.repo_id) AS repo_id, coalesce(ex.id, nw.id) AS id
        THEN strftime((SELECT now FROM nowt), '{ISO}') ELSE ex.last_seen END AS last_seen,
   CASE WHEN ex.id IS NULL THEN nw.location
        WHEN nw.id IS NOT NULL AND ex.status IN ('suggested', 'approved') THEN nw.location ELSE ex.location END AS location,
-  coalesce(ex.ord, 100) AS o
+  coalesce(ex.ord, {LATER}) AS o
 FROM ex FULL OUTER JOIN nw ON ex.repo_id = nw.repo_id AND ex.id = nw.id)
 SELECT CAST(repo_id AS BIGINT) AS repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY o, id) AS INT) AS ord,
        id, name, description, priority, status, first_seen, last_seen, location FROM m""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions.util import LATER
 from ..operators import plan as P
 from ..sources import tables as T
 from . import duck as D
@@ -81,7 +82,7 @@ SELECT coalesce(ex.repo_id, nw.repo_id) AS repo_id, coalesce(ex.id, nw.id) AS id
   CASE WHEN ex.id IS NULL THEN nw.name WHEN nw.id IS NOT NULL AND ex.status = 'suggested' THEN nw.name ELSE ex.name END AS name,
   CASE WHEN ex.id IS NULL THEN nw.priority WHEN nw.id IS NOT NULL AND ex.status = 'suggested' THEN nw.priority ELSE ex.priority END AS priority,
   CASE WHEN ex.id IS NULL THEN nw.status ELSE ex.status END AS status,
-  coalesce(ex.ord, 100) AS ord
+  coalesce(ex.ord, """ + str(LATER) + """) AS ord
 FROM ex FULL OUTER JOIN nw ON ex.repo_id = nw.repo_id AND ex.id = nw.id)""")
 
 
@@ -91,7 +92,7 @@ def merged_plan(spark, sf_dir):
     now = ev.agg(F.max("received_at")).scalar()
     m = P.merge(existing_plan(spark), observed_as_new(ev), now)
     ords = existing_plan(spark).select("repo_id", "id", "ord")
-    return m.join(ords, ["repo_id", "id"], "left").withColumn("ord", F.coalesce("ord", F.lit(100)))
+    return m.join(ords, ["repo_id", "id"], "left").withColumn("ord", F.coalesce(F.col("ord").cast("long"), F.lit(LATER)))
 
 
 @query("plan_approve", oracle=MERGED_DUCK + """
