@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import SPACE
 from .exchange import CHUNK_BYTES, Keys, chunked, flags, mix, pack, rows, unflags, unpack
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE.encode())] = True
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
