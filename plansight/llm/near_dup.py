@@ -11,17 +11,22 @@
 4. Survivors are verified exactly on their full shingle sets.
 
 Pairs within a bucket are not all formed. First each node meets one leader,
-then the leaders of all its buckets (drawn by a hash, so they differ by
-bucket), and last, only where a bucket still holds nodes of different
-components, nodes of different components and fitting sizes meet. After each
-step components are joined, so a tight group of thousands costs a few pairs
-per node, and no link that could join two components is left out.
+then some of the leaders of its other buckets (drawn by a hash, so they differ
+by bucket). After each step components are joined, so a tight group of thousands
+costs a few pairs per node. Only where a bucket still holds nodes of different
+components, the remaining links between those are looked for (``leftovers``):
+in a family of near copies, shingles that few of its nodes hold are told from
+those of the common original. Two nodes either share a rare shingle and meet
+there, or have nothing but common ones in common, and then their counts of
+common shingles bound their similarity. Both rules lose nothing, and what is
+rare is set per family so that meetings stay in proportion to its nodes.
 
 Words are runs of anything but white space, A-Z lower-cased; a document with
 fewer words than a shingle has its whole sequence as one. Defined results:
 null or empty texts have no shingles and link with nothing; a row without an
-id takes no part (component null, kept); rows that share an id share its
-component; an empty table gives an empty table.
+id takes no part (component null, kept); rows that repeat an id and its text
+share its component; an id is expected to stand for one text (of several, one
+stands for the id as a node); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -196,6 +201,74 @@ class Linker:
         return rows.join(c, node, "left").withColumn(label, F.coalesce(label, node))
 
 
+#: Leaders that a node meets in the second step, and meetings at rare shingles per node of a family: the rest is
+#: left to the exact rules of ``leftovers``.
+LEADERS, MEETINGS = 8, 16
+
+
+def across(rows: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
+    """Pairs of rows with equal ``key`` and different components ``c``: columns a, b and ``cols`` with suffixes.
+
+    Every such pair has an end outside the key's largest component, so only those rows meet all others."""
+    largest = (rows.groupBy(*key, "c").agg(F.count(F.lit(1)).alias("k")).groupBy(*key)
+               .agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("cs"))
+               .where("cs > 1").select(*key, F.col("m.c").alias("main")))
+    open_ = rows.join(largest, key)
+    named = lambda side: open_.select(*key, F.col("node").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("c", *cols)], "main")
+    x, y = named("a").where("c_a <> main").drop("main"), named("b")
+    return x.join(y, key).where("c_a <> c_b AND (c_b = main OR a < b)")
+
+
+def leftovers(linker: Linker, buckets: DataFrame, folder: str) -> DataFrame | None:
+    """Pairs (a, b) of different components that may still be similar enough, and how far above the threshold they
+    can be (``slack``); None if no bucket holds any."""
+    percent = linker.percent
+    mixed = written(linker.labelled(buckets.select("band", "leader", "node", "n"), "node", "c"), f"{folder}/mixed")
+    several = mixed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
+    open_ = written(mixed.join(several, "band", "left_semi"), f"{folder}/open")
+    if open_.isEmpty():
+        return None
+    family = connected(open_.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    nodes = written(open_.select("node", "n", "c").distinct().join(family, "node").withColumnRenamed("component", "family"), f"{folder}/families")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, f, blob in zip(batch["node"].to_pylist(), batch["family"].to_pylist(), batch["set"], strict=True):
+                s = np.frombuffer(blob.as_py(), np.int64)
+                yield pa.record_batch([pa.array(np.full(len(s), f)), pa.array(s), pa.array(np.full(len(s), node))], names=["family", "s", "node"])
+
+    held = written(linker.sets.join(nodes.select("node", "family"), "node").select("node", "family", "set")
+                   .mapInArrow(spread, "family long, s long, node long"), f"{folder}/held")
+    df = written(held.groupBy("family", "s").agg(F.count(F.lit(1)).alias("df")), f"{folder}/df")
+    sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy("family").orderBy("df").rowsBetween(Window.unboundedPreceding, 0)
+    few = (df.groupBy("family", "df").agg(F.count(F.lit(1)).alias("x")).withColumn("met", F.sum(F.col("x") * F.col("df") * (F.col("df") - 1) / 2).over(upto))
+           .join(sizes, "family").where(F.col("met") <= F.col("k") * MEETINGS).groupBy("family").agg(F.max("df").alias("few")))
+    rare = df.join(few, "family").where("df <= few").select("family", "s", "df")
+    kept = written(held.join(rare, ["family", "s"]), f"{folder}/rare")
+    counts = kept.groupBy("node").agg(F.count(F.lit(1)).alias("r"))
+    known = written(nodes.join(counts, "node", "left").withColumn("r", F.coalesce("r", F.lit(0))), f"{folder}/known")
+
+    def enough(both: Column) -> Column:
+        return both * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+    common = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    # nothing rare in common. The size that a partner can have at most is below the bucket's least for most.
+    rows = open_.select("band", "node").join(known, "node").withColumn("most", F.floor(((F.col("n") - F.col("r")) * (100 + percent)) / percent) - F.col("n"))
+    least = rows.groupBy("band").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "band").where("most >= least")
+    plain = across(rows, ["band"], ["n", "r"]).where(enough(common))
+    meet = across(kept.where("df > 1").select("family", "s", "node").join(known.drop("family"), "node"), ["family", "s"], ["n", "r"])
+    ends = [F.struct(F.col(x).alias("node"), F.col(f"n_{x}").alias("n"), F.col(f"r_{x}").alias("r")) for x in "ab"]
+    pairs = (meet.where(enough(common + F.least("r_a", "r_b"))).groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+             .agg(F.count(F.lit(1)).alias("both")))  # the rare shingles that the two share
+    shared = pairs.select(*[F.col(f"{e}.{c}").alias(f"{d}{x}") for e, x in (("x", "a"), ("y", "b"))
+                            for c, d in (("node", ""), ("n", "n_"), ("r", "r_"))], "both").where(enough(common + F.col("both")))
+    slack = lambda both: (both * (100 + percent) - (F.col("n_a") + F.col("n_b")) * percent).alias("slack")
+    return (plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), slack(common))
+            .unionByName(shared.select("a", "b", slack(common + F.col("both")))).groupBy("a", "b").agg(F.max("slack").alias("slack")))
+
+
 def components(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row with an id."""
     spark = docs.sparkSession
@@ -228,19 +301,20 @@ def components(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
     first = stars.groupBy("node").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     linker.verify(first)
     apart = lambda pairs: linker.labelled(linker.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    linker.verify(apart(stars.select("a", "b").distinct()))
-    mixed = linker.labelled(buckets.select("band", "node", "n"), "node", "c")
-    mixed = written(mixed, f"{folder}/mixed")
-    several = mixed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
-    open_ = mixed.join(several, "band", "left_semi")
-    x = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    cross = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit(F.col("na"), F.col("nb"), percent))
-    linker.verify(cross.select("a", "b").distinct())
+    by_hash = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("a", "b"), "a", "b"))
+    some = stars.withColumn("i", by_hash).where(F.col("i") <= LEADERS).select("a", "b").distinct()
+    linker.verify(apart(some))
+    left = leftovers(linker, buckets, folder)
+    if left is not None:  # the most promising pairs of every node, then those that are still apart
+        left = written(left, f"{folder}/left")
+        rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("slack"), F.xxhash64("a", "b"), "a", "b"))
+        best = written(left.withColumn("i", F.least(rank("a"), rank("b"))).where(F.col("i") <= LEADERS).select("a", "b"), f"{folder}/best")
+        linker.verify(best)
+        linker.verify(apart(left.select("a", "b").join(best, ["a", "b"], "left_anti")))
 
     by_doc = signed.select("doc_id", "n_shingles", "f1", "f2").join(groups, ["f1", "f2", "n_shingles"], "left")
     out = linker.labelled(by_doc, "node", "component_id")
-    # rows of one id with different texts share the smaller component; a row without shingles is its own
+    # a row without shingles is its own component
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

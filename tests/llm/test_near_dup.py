@@ -34,7 +34,7 @@ def corpus(seed, n=60):
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 2, 3, 6])):
             w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
-        rows.append((i * 3 % n, rng.choice([" ", "\n"]).join(x.upper() if rng.random() < 0.3 else x for x in w)))
+        rows.append((i * 7 % n, rng.choice([" ", "\n"]).join(x.upper() if rng.random() < 0.3 else x for x in w)))
     chain = [f"c{j}" for j in range(60)]  # each link holds, the ends do not
     rows += [(500 + j, " ".join(chain[j * 3:j * 3 + 40])) for j in range(7)]
     return rows + [(900, None), (901, ""), (902, " \n"), (903, "single"), (904, "SINGLE"), (905, "other"),
@@ -81,3 +81,20 @@ def test_posterior_bounds_prune_far_pairs_only():
     steps = nd.least_matches(80)
     assert [n for n, _ in steps] == [32, 64, 96, 128]
     assert all(0 < m < 0.8 * n for n, m in steps)
+
+
+def test_family_with_many_unlinked_members(spark, docs_of):
+    """Variants of one original: most are linked, some only with each other, some with nobody."""
+    rng = random.Random(9)
+    base, rows = [f"w{j}" for j in range(100)], []
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 8, 11, 14])):
+            w[rng.randrange(100)] = rng.choice([f"u{rng.randrange(10**6)}", f"e{rng.randrange(30)}"])
+        rows.append((i, " ".join(w)))
+        if rng.random() < 0.15:
+            w[rng.randrange(100)] = "twin"
+            rows.append((1000 + i, " ".join(w)))
+    expected = brute(rows, 2, 80)
+    assert 5 < len({r[2] for r in expected}) < 150
+    assert {tuple(r) for r in nd.report(docs_of(rows)).collect()} == expected
