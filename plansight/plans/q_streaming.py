@@ -207,15 +207,15 @@ def _sequence_watch_fn(steps, window_us):
             wm = state.getCurrentWatermarkMs() * 1000
             keep = []
             for p in pending:
-                (out.append((key[0], p[0], steps[p[2]])) if p[0] + window_us < wm else keep.append(p))
+                (out.append((key[0], p[3], p[0], steps[p[2]])) if p[0] + window_us < wm else keep.append(p))
             pending = keep
         else:
             rows = pd.concat(list(pdfs)).sort_values(["t", "event_id"])
-            for t, name in zip(rows["t"], rows["event_name"]):
+            for t, name, event_id in zip(rows["t"], rows["event_name"], rows["event_id"]):
                 keep = []
                 for p in pending:
                     if t > p[0] + window_us:
-                        out.append((key[0], p[0], steps[p[2]]))
+                        out.append((key[0], p[3], p[0], steps[p[2]]))
                         continue
                     if name == steps[p[2]] and t > p[1]:
                         p[1], p[2] = int(t), p[2] + 1
@@ -224,28 +224,40 @@ def _sequence_watch_fn(steps, window_us):
                     keep.append(p)
                 pending = keep
                 if name == steps[0]:
-                    pending.append([int(t), int(t), 1])
-        state.update((pending,))
+                    pending.append([int(t), int(t), 1, int(event_id)])
         if pending:
+            state.update((pending,))
             state.setTimeoutTimestamp(int(min(p[0] for p in pending) // 1000 + window_us // 1000 + 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["user_id", "t1_us", "missing_step"])
+            yield pd.DataFrame(out, columns=["user_id", "start_id", "t1_us", "missing_step"])
     return fn
 
 
 @query("stream_sequence_timeout")
 def q_stream_sequence_timeout(spark, sf_dir):
     """ST10: alert when a started sequence misses a step within its window
-    (event-time timeout per user). Rows-only: alerts still pending when the
-    source is drained fire only once a later batch advances the watermark."""
+    (event-time timeout per user). Once the source is drained, the same query
+    runs on with one closing row of no user that takes the watermark past the
+    last window, so every alert still pending fires; the row itself makes none."""
     from .q_sequences import steps_of
     steps, window = steps_of(spark)
     sink, ck = J.new_location(spark, "seqwatch")
-    e = J.with_event_time(events_stream(spark, sf_dir)).withWatermark("event_time", "1 hour")
+    events = T.read_table(spark, sf_dir, "events")
+    closing = scratch_path(spark, os.path.join("landing", f"closing-{uuid.uuid4().hex[:12]}"))
+    events.limit(0).write.parquet(closing)
+    e = J.with_event_time(events_stream(spark, sf_dir).unionByName(J.file_stream(spark, closing))) \
+        .withWatermark("event_time", "1 hour")
     x = e.select("user_id", "event_time", "event_id", F.col("event_type").alias("event_name"),
                  F.unix_micros("event_time").alias("t"))
     alerts = x.groupBy("user_id").applyInPandasWithState(
-        _sequence_watch_fn(steps, window * 1_000_000), "user_id long, t1_us long, missing_step string",
+        _sequence_watch_fn(steps, window * 1_000_000), "user_id long, start_id long, t1_us long, missing_step string",
         "pending array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout)
     J.run_available_now(alerts, sink, ck)
+    # the watermark lags an hour behind the closing row
+    last = events.agg((F.max("ts") + F.make_dt_interval(hours=F.lit(2), secs=F.lit(window))).alias("ts"))
+    last.where("ts IS NOT NULL").select(*[(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name)
+                                          for f in events.schema]).write.mode("append").parquet(closing)
+    J.run_available_now(alerts, sink, ck)
     return spark.read.parquet(sink)
