@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.util import at as _at
 
 from ..functions import names as N
+from ..session import materialize
 from . import corpus as K
 
 # ---------------------------------------------------------------------------
@@ -162,30 +163,44 @@ def guess_event_name(itype: Column, fn: Column, hint: Column, entities: Column)
             .otherwise(F.coalesce(_ui_hint_name(hint), _handler_name(fn))))
 
 
-def _dedupe(ev: DataFrame, key: Column) -> DataFrame:
+def _cut(df: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Events and links both read every pass, so with links a pass is written once."""
+    return df if links is None else materialize(df)
+
+
+def _follow(links: DataFrame | None, moves: DataFrame) -> DataFrame | None:
+    """Links (repo, pos of the event, source) after events moved from ``pos`` to ``_to``: a row per source, joined."""
+    if links is None:
+        return None
+    return links.join(moves.select("repo", "pos", "_to"), ["repo", "pos"]).withColumn("pos", F.col("_to")).drop("_to")
+
+
+def _dedupe(ev: DataFrame, key: Column, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """One merge pass: per key the highest confidence wins (earliest on ties);
-    the key keeps the position of its first member. Source interactions are
-    disjoint between merged events, so the union is kept as a count (a list
-    would grow with the corpus)."""
-    g = ev.withColumn("_key", key).groupBy("repo", "_key").agg(
+    the key keeps the position of its first member. The union of the source
+    interactions is a table of its own, ``links``: no list is collected."""
+    keyed = _cut(ev.withColumn("_key", key), links)
+    g = keyed.groupBy("repo", "_key").agg(
         F.min_by(F.struct(*[c for c in ev.columns if c not in ("n_sources", "pos", "repo")]),
                  F.struct(-F.col("confidence"), F.col("pos"))).alias("w"),
         F.min("pos").alias("pos"),
         F.sum("n_sources").alias("n_sources"))
-    return g.select("repo", "w.*", "pos", "n_sources")
+    g = _cut(g, links)
+    moves = keyed.select("repo", "_key", "pos").join(g.select("repo", "_key", F.col("pos").alias("_to")), ["repo", "_key"])
+    return g.select("repo", "w.*", "pos", "n_sources"), _follow(links, moves)
 
 
-def dedupe_events(ev: DataFrame) -> DataFrame:
+def dedupe_events(ev: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """A8 (by lower-cased name) then A9 (by object + canonical verb)."""
-    p1 = _dedupe(ev, F.lower("name"))
+    p1, links = _dedupe(ev, F.lower("name"), links)
     parts = F.split("name", "_")
     verb = _at(parts, -1)
     obj = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "_")
     canon = F.when(verb.isin(*CREATION_VERBS), "created").when(verb.isin(*DELETION_VERBS), "deleted").otherwise(verb)
-    return _dedupe(p1, F.concat(obj, F.lit(":"), canon))
+    return _dedupe(p1, F.concat(obj, F.lit(":"), canon), links)
 
 
-def group_business_edits(ev: DataFrame) -> DataFrame:
+def group_business_edits(ev: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """A10: two or more edit-like events on the same (file, object) become one
     ``<object>_edited`` event (high priority, includes the names)."""
     obj = N.object_of_synth(F.col("name"))
@@ -195,6 +210,11 @@ def group_business_edits(ev: DataFrame) -> DataFrame:
     x = x.withColumn("_n", F.sum(F.col("_edit").cast("int")).over(w))
     grouped_name = F.concat("_obj", F.lit("_edited"))
     to_group = F.col("_edit") & (F.col("_n") > 1) & N.is_valid_event_name(grouped_name)
+    if links is not None:
+        first = F.min(F.when(to_group, F.col("pos"))).over(w)
+        x = materialize(x.withColumn("_to", F.when(to_group, first).otherwise(F.col("pos"))))
+        links = _follow(links, x)
+        x = x.drop("_to")
     passthrough = x.where(~to_group).drop("_obj", "_edit", "_n")
     g = (x.where(to_group).groupBy("repo", "path", "_obj").agg(
         F.min_by(F.struct("line_no", "context", "confidence", "hint"),
@@ -206,15 +226,14 @@ def group_business_edits(ev: DataFrame) -> DataFrame:
                        F.concat(F.lit("User edited "), "_obj", F.lit(" (grouped changes)")).alias("description"),
                        F.lit("high").alias("priority"), F.lit("action").alias("signal_type"),
                        "path", "best.line_no", "best.context", "best.confidence", "best.hint", "includes", "pos", "n_sources")
-    return dedupe_events(passthrough.unionByName(grouped.select(*passthrough.columns)))
+    return dedupe_events(passthrough.unionByName(grouped.select(*passthrough.columns)), links)
 
 
-def synthesize(interactions: DataFrame, granular: bool = False) -> DataFrame:
-    """Fast (rule-based) synthesis of business events from interactions."""
+def _named_events(interactions: DataFrame) -> DataFrame:
     x = interactions.withColumn("name", guess_event_name(F.col("type"), F.col("function_name"), F.col("ui_hint"),
                                                          F.col("entities")))
     x = x.where(F.col("name").isNotNull() & N.is_valid_event_name(F.col("name")))
-    ev = x.select("repo", "name",
+    return x.select("repo", "name", "function_name",
                   F.concat(F.col("type"), F.lit(": "), F.col("function_name")).alias("description"),
                   N.priority_heuristic(F.col("name"), F.col("type")).alias("priority"),
                   N.signal_type(F.col("type")).alias("signal_type"),
@@ -222,8 +241,21 @@ def synthesize(interactions: DataFrame, granular: bool = False) -> DataFrame:
                   F.lit(None).cast("string").alias("includes"),
                   F.struct("path", "first_detector", "first_match_no").alias("pos"),
                   F.lit(1).cast("long").alias("n_sources"))
-    d = dedupe_events(ev)
-    return d if granular else group_business_edits(d)
+
+
+def synthesize(interactions: DataFrame, granular: bool = False) -> DataFrame:
+    """Fast (rule-based) synthesis of business events from interactions."""
+    d, _ = dedupe_events(_named_events(interactions).drop("function_name"))
+    return d if granular else group_business_edits(d)[0]
+
+
+def synthesize_with_sources(interactions: DataFrame, granular: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The events and their sources: (repo, pos of the event, source_path, source_function), the last two naming one
+    interaction of the repo."""
+    ev = materialize(_named_events(interactions))
+    links = ev.select("repo", "pos", F.col("path").alias("source_path"), F.col("function_name").alias("source_function"))
+    d, links = dedupe_events(ev.drop("function_name"), links)
+    return (d, links) if granular else group_business_edits(d, links)
 
 
 def file_relevance(path: Column) -> Column:
@@ -397,5 +429,5 @@ def merge_proposals(interactions: DataFrame, proposals: DataFrame, batch_size: i
         "path", "line_no", "context", "confidence", "hint", F.lit(None).cast("string").alias("includes"),
         F.struct(F.lit(1).alias("src"), F.col("index").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("pos"),
         F.lit(1).cast("long").alias("n_sources"))
-    d = dedupe_events(pe.unionByName(ue))
-    return d if granular else group_business_edits(d)
+    d, _ = dedupe_events(pe.unionByName(ue))
+    return d if granular else group_business_edits(d)[0]

@@ -99,6 +99,28 @@ def q_synthesized_events(spark, sf_dir):
     return synthesized(spark, sf_dir).select(*[c.strip() for c in SYN_COLS.split(",")])
 
 
+def _merge_key_duck(name):
+    """The key of A9: object and canonical verb."""
+    parts = f"string_split({name}, '_')"
+    return (f"(array_to_string({parts}[1:len({parts}) - 1], '_') || ':' || "
+            f"(CASE WHEN {parts}[-1] IN ('created', 'added', 'inserted') THEN 'created' "
+            f"WHEN {parts}[-1] IN ('deleted', 'removed', 'destroyed') THEN 'deleted' ELSE {parts}[-1] END))")
+
+
+@query("event_sources", oracle=SYN_DUCK + f"""
+SELECT n.repo, s.name, n.path AS source_path, n.function_name AS source_function
+FROM named n JOIN p1f p ON p.repo = n.repo AND lower(p.name) = lower(n.name)
+JOIN syn s ON s.repo = p.repo AND {_merge_key_duck('s.name')} = {_merge_key_duck('p.name')}
+WHERE n.name IS NOT NULL AND {D.is_valid_event_name('n.name')}""")
+def q_event_sources(spark, sf_dir):
+    """The interactions (path and function of the repo) that each
+    synthesized event came from, one row each."""
+    _, _, inter = parts(spark, sf_dir)
+    events, links = Y.synthesize_with_sources(inter)
+    return links.join(events.select("repo", "pos", "name"), ["repo", "pos"]).select(
+        "repo", "name", "source_path", "source_function")
+
+
 OBJ_CTES = OBJ_DUCK[len("WITH " + CL + ",\n"):]
 
 
