@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, apportion, bloom_cascade, decontaminate, forest_ann, hpy, jump_shards, knn_quality, line_runs, near_dup, \
-    str_negatives
+from . import anchors, apportion, bloom_cascade, decontaminate, dual_tree, forest_ann, hpy, jump_shards, knn_quality, \
+    line_runs, near_dup, str_negatives
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -60,9 +60,13 @@ def op11_str_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return str_negatives.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op5_block_anchors, op6_pitman_yor, op7_bloom_cascade,
-    op8_simhash_windows, op9_bayes_minhash, op10_knn_quality, op11_str_negatives)}
+    op8_simhash_windows, op9_bayes_minhash, op10_knn_quality, op11_str_negatives, op12_dual_tree)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op5_block_anchors": anchors.ORACLE,
                            "op7_bloom_cascade": bloom_cascade.ORACLE, "op9_bayes_minhash": near_dup.ORACLE,
-                           "op11_str_negatives": str_negatives.ORACLE}
+                           "op11_str_negatives": str_negatives.ORACLE, "op12_dual_tree": dual_tree.ORACLE}
