@@ -42,7 +42,7 @@ FOLD = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if b > 12
 SEGMENT = 1 << 20
 ITEMS, ITEM_BYTES = 512, 1 << 18  # a block of items; one item may exceed it
 SLAB, CELLS = 2_048, 1 << 22  # documents of a slab; numbers that the maxima of its nodes take
-DOC_LEAF, ITEM_LEAF = 64, 8
+DOC_LEAF, ITEM_LEAF, ROUNDS = 64, 8, 4
 EXACT = 1 << 53
 IMPACT = 1_000_000  # no impact reaches it
 
@@ -81,8 +81,8 @@ class Sparse:
 class Tree:
     """A balanced hierarchy over sparse rows: node 1 is the root, 2i and 2i+1 are the children of i."""
 
-    def __init__(self, m: Sparse, leaf: int):
-        self.m = m
+    def __init__(self, m: Sparse, leaf: int, scale: np.ndarray):
+        self.m, self.scale = m, scale
         self.depth = max(0, math.ceil(math.log2(max(1, len(m)) / leaf)))
         self.order = np.arange(len(m))
         self.span = {1: (0, len(m))}
@@ -102,24 +102,25 @@ class Tree:
         return self.order[slice(*self.span[node])]
 
     def split(self, rows: np.ndarray) -> np.ndarray:
-        """Rows in falling order of the coordinate that varies most among them."""
+        """Rows in order along the axis on which they differ most (power iterations towards the principal one)."""
         which, at = self.m.entries(rows)
         if not len(at):
             return rows
-        cols, values = self.m.cols[at], self.m.values[at].astype(np.float64)
-        total = np.bincount(cols, values, self.m.width)
-        spread = np.bincount(cols, values * values, self.m.width) - total * total / len(rows)
-        along = np.zeros(len(rows))
-        on = cols == np.argmax(spread)
-        along[which[on]] = values[on]
-        return rows[np.argsort(-along, kind="stable")]
+        cols, values = self.m.cols[at], self.m.values[at] * self.scale[self.m.cols[at]]
+        axis = np.bincount(cols, values * values, self.m.width)
+        for _ in range(ROUNDS):
+            along = np.bincount(which, values * axis[cols], len(rows))
+            along -= along.mean()
+            axis = np.bincount(cols, values * along[which], self.m.width)
+            axis /= max(np.abs(axis).max(), 1e-300)
+        return rows[np.argsort(along, kind="stable")]
 
 
 class Items:
     """A block of items as a tree; per node its columns and maxima, per leaf its dense weights."""
 
     def __init__(self, m: Sparse, k: int):
-        self.tree, self.k = Tree(m, ITEM_LEAF), k
+        self.tree, self.k = Tree(m, ITEM_LEAF, np.ones(m.width)), k
         self.cols = {v: np.flatnonzero(self.tree.top[v]) for v in range(1, 2 * self.tree.first)}
         self.top = {v: self.tree.top[v][c] for v, c in self.cols.items()}
         total = np.zeros(max(1, len(m)), np.int64)
@@ -134,6 +135,7 @@ class Items:
             dense = np.zeros((len(self.cols[v]), len(self.tree.rows(v))), self.number)
             dense[place[m.cols[at]], which] = m.values[at]
             self.weights[v], self.place[v] = dense, place
+        self.scale = self.tree.top[1] / max(1, self.tree.top[1].max(initial=0))  # documents differ as items see it
         del self.tree.top
 
     def weakest(self, node: int, best: Best) -> int:
@@ -142,7 +144,7 @@ class Items:
 
     def search(self, ids: np.ndarray, docs: Sparse, best: Best) -> None:
         """Offer ``best`` (a ranking per item) all documents of a slab that can still enter it."""
-        tree = Tree(docs, DOC_LEAF)
+        tree = Tree(docs, DOC_LEAF, self.scale)
         top = tree.top.astype(self.number)
 
         def bound(d: list[int], v: int) -> list[int]:

@@ -83,17 +83,17 @@ def test_bounds_drop_whole_batches(monkeypatch):
         scored.append(len(rows) * len(self.tree.rows(v))), score(self, ids, docs_, rows, v, best)))
     items, best = dt.Items(m, 10), Best(64, 10)
     items.search(np.arange(2000), d, best)
-    for i, own_ in enumerate(own):
+    for i, own_ in enumerate(own):  # every ranking is exact
         want = sorted((-sum(x * doc[c] for c, x in own_.items() if c in doc), j) for j, doc in enumerate(docs))[:10]
         kept = [(int(-s), int(j)) for s, j in zip(best.scores[i], best.ids[i], strict=True) if s != NONE]
         assert kept == [w for w in want if w[0] < 0]
-    assert sum(scored) < 0.5 * 64 * 2000
+    assert sum(scored) < 0.7 * 64 * 2000
 
 
 def test_maxima_bound_their_rows():
     rng = np.random.default_rng(6)
     m = dt.sparse([{int(c): int(c) + i for c in rng.integers(0, 50, i % 9)} for i in range(333)], 50)
-    tree = dt.Tree(m, 16)
+    tree = dt.Tree(m, 16, np.ones(50))
     assert sorted(tree.order.tolist()) == list(range(333))
     for node in range(1, 2 * tree.first):
         _, at = m.entries(tree.rows(node))
