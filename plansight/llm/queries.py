@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, apportion, bloom_cascade, decontaminate, dual_tree, forest_ann, hpy, jump_shards, knn_quality, \
+from . import anchors, apportion, bloom_cascade, decontaminate, dual_tree, forest_ann, hpy, html_text, jump_shards, knn_quality, \
     line_runs, near_dup, str_negatives
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,13 @@ def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Builder] = {f.__name__: f for f in (
     op1_prefix_forest, op2_source_mix, op3_line_dedup, op4_jump_shards, op5_block_anchors, op6_pitman_yor, op7_bloom_cascade,
-    op8_simhash_windows, op9_bayes_minhash, op10_knn_quality, op11_str_negatives, op12_dual_tree)}
+    op8_simhash_windows, op9_bayes_minhash, op10_knn_quality, op11_str_negatives, op12_dual_tree, op13_html_text)}
 ORACLES: dict[str, str] = {"op3_line_dedup": line_runs.ORACLE, "op5_block_anchors": anchors.ORACLE,
                            "op7_bloom_cascade": bloom_cascade.ORACLE, "op9_bayes_minhash": near_dup.ORACLE,
                            "op11_str_negatives": str_negatives.ORACLE, "op12_dual_tree": dual_tree.ORACLE}
