@@ -38,6 +38,21 @@ def declared_json_type(t: Column) -> Column:
     return F.when(t == "date", "string").otherwise(t)
 
 
+def property_types(names: list[str]) -> Column:
+    """Map of the named properties to their ``schema_of_variant`` types in the JSON text ``properties``.
+
+    A variant path quotes a name by ' or by ", without escapes: a name that holds both has no path and no type."""
+    v = F.try_parse_json("properties")
+    quoted = {n: f"['{n}']" if "'" not in n else f'["{n}"]' for n in names if "'" not in n or '"' not in n}
+    pairs = [x for n, q in quoted.items() for x in (F.lit(n), F.schema_of_variant(F.try_variant_get(v, "$" + q, "variant")))]
+    return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
+
+
+def property_names(plan_props: DataFrame) -> list[str]:
+    """Distinct property names of the (small) property dimension."""
+    return sorted({r.prop for r in plan_props.select("prop").distinct().collect()})
+
+
 def contract_violations(events: DataFrame, plan_props: DataFrame) -> DataFrame:
     """For each event and each plan property of its (lower-cased) name:
     ``missing`` when a required, non-todo property is absent, ``type_mismatch``
@@ -46,10 +61,7 @@ def contract_violations(events: DataFrame, plan_props: DataFrame) -> DataFrame:
     The property names are read from the (small) property dimension so that
     each becomes a literal JSON path; no per-row Python.
     """
-    names = sorted({r.prop for r in plan_props.select("prop").distinct().collect()})
-    v = F.try_parse_json("properties")
-    types = F.create_map(*[x for n in names for x in (
-        F.lit(n), F.schema_of_variant(F.try_variant_get(v, "$['" + n.replace("'", "\\'") + "']", "variant")))])
+    types = property_types(property_names(plan_props))
     ev = events.select("event_id", "event_name", "properties",
                        F.json_object_keys("properties").alias("_keys"), types.alias("_types"))
     pp = F.broadcast(plan_props.select(F.lower("event_name").alias("_k"), "prop", "type", "required", "todo"))

@@ -21,7 +21,7 @@ def _jt(x):
             f"WHEN {x} = 'ARRAY' THEN 'array' WHEN {x} = 'NULL' THEN 'null' ELSE lower({x}) END)")
 
 
-@query("event_contract_violations", oracle=fx.with_ctes(fx.EVENTS_CTE, PROPS, """j AS (
+VIOLATIONS_DUCK = fx.with_ctes(fx.EVENTS_CTE, PROPS, """j AS (
   SELECT e.event_id, e.event_name, p.prop, p.type, p.required, p.todo,
          coalesce(list_contains(json_keys(e.properties), p.prop), false) AS present,
          json_type(e.properties, '$."' || p.prop || '"') AS vt
@@ -33,7 +33,10 @@ SELECT * FROM (
               WHEN present AND {_jt('vt')} <> (CASE WHEN type = 'date' THEN 'string' ELSE type END) THEN 'type_mismatch'
          END AS violation
   FROM j) x
-WHERE violation IS NOT NULL""")
+WHERE violation IS NOT NULL"""
+
+
+@query("event_contract_violations", oracle=VIOLATIONS_DUCK)
 def q_event_contract_violations(spark, sf_dir):
     return C.contract_violations(T.events(spark, sf_dir), T.plan_props(spark))
 
