@@ -141,12 +141,14 @@ def scope_variables(lines: DataFrame, targets: DataFrame) -> DataFrame:
     params = tp.where(F.col("_start").isNotNull()).select(
         "repo", "path", "line_no", F.posexplode(parameters(F.col("_sig"))).alias("_pos", "v"),
         F.col("_start").alias("decl_line")).withColumn("_pos", F.col("_pos").cast("long") - LATER)
-    rng = tp.withColumn("_l", F.explode(F.sequence(F.coalesce("_start", F.lit(1)), F.col("line_no") - 1))) \
-        .where((F.col("_l") < F.col("line_no")) & (F.col("_l") >= F.coalesce("_start", F.lit(1))))
-    dl = rng.join(d.select("repo", "path", F.col("line_no").alias("_l"), "text", F.col("depth").alias("_d")),
-                  ["repo", "path", "_l"]).where(F.col("_d") <= F.col("_tdepth"))
-    decls = dl.select("repo", "path", "line_no", F.posexplode(line_declarations(F.col("text"))).alias("_pos", "v"),
-                      F.col("_l").alias("decl_line"))
+    # every line lies in one segment, from a function start to the next, and a target sees only lines of its own:
+    # declarations meet targets by an equi-join on the segment, without a row per line in between
+    segment = F.coalesce("_start", F.lit(0)).alias("_segment")
+    declared = info.select("repo", "path", segment, F.col("line_no").alias("decl_line"), F.col("depth").alias("_d"),
+                           line_declarations(F.col("text")).alias("_vars")).where(F.size("_vars") > 0)
+    decls = t.select("repo", "path", "line_no", segment, "_tdepth").join(declared, ["repo", "path", "_segment"]).where(
+        (F.col("decl_line") < F.col("line_no")) & (F.col("_d") <= F.col("_tdepth"))).select(
+        "repo", "path", "line_no", F.posexplode("_vars").alias("_pos", "v"), "decl_line")
     allv = params.unionByName(decls).select("repo", "path", "line_no", "decl_line", "_pos", "v.*")
     typed = (F.coalesce(F.col("type"), F.lit("")) != "")
     key = Window.partitionBy("repo", "path", "line_no", "name")
@@ -220,7 +222,7 @@ def infer_properties(events: DataFrame, scope: DataFrame, rel: DataFrame, paths:
         .when(F.col("_u").isNotNull(), F.concat("_u.access_path", F.lit("?.id"))).otherwise(F.lit("user?.id"))
     user = uj.select("repo", "event_name", F.lit("user_id").alias("prop"), F.lit(True).alias("required"),
                      uacc.alias("access_path"), F.col("_u").isNotNull().alias("verified"), F.lit(False).alias("todo"),
-                     F.lit(3000).alias("ord"))
+                     F.lit(3 * LATER).alias("ord"))
     parts_all = [own, direct, grand, user]
     if lifecycles is not None:
         lc = lifecycles.select(F.col("repo").alias("_lr"), N.snake_from_camel("object").alias("_lo")).distinct()
@@ -229,7 +231,7 @@ def infer_properties(events: DataFrame, scope: DataFrame, rel: DataFrame, paths:
         done = done.join(lc, (done["repo"] == F.col("_lr")) & (F.col("_base") == F.col("_lo")), "left_semi")
         parts_all.append(done.select("repo", "event_name", F.lit("time_to_complete_ms").alias("prop"),
                                      F.lit(False).alias("required"), F.lit(None).cast("string").alias("access_path"),
-                                     F.lit(False).alias("verified"), F.lit(True).alias("todo"), F.lit(4000).alias("ord")))
+                                     F.lit(False).alias("verified"), F.lit(True).alias("todo"), F.lit(4 * LATER).alias("ord")))
     if sequences is not None:
         steps = sequences.select(F.col("event_name").alias("_step")).distinct()
         fail = ev.where(F.col("event_name").endswith("_failed")).withColumn(
@@ -237,7 +239,7 @@ def infer_properties(events: DataFrame, scope: DataFrame, rel: DataFrame, paths:
         fail = fail.join(steps, "_step", "left_semi")
         parts_all.append(fail.select("repo", "event_name", F.lit("attempt_number").alias("prop"),
                                      F.lit(False).alias("required"), F.lit(None).cast("string").alias("access_path"),
-                                     F.lit(False).alias("verified"), F.lit(True).alias("todo"), F.lit(5000).alias("ord")))
+                                     F.lit(False).alias("verified"), F.lit(True).alias("todo"), F.lit(5 * LATER).alias("ord")))
     u = parts_all[0]
     for p in parts_all[1:]:
         u = u.unionByName(p)
