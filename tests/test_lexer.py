@@ -54,3 +54,22 @@ def test_one_large_file_is_many_tasks(spark):
     assert (free[0], free[1], free[2]) == (250_001, n, want)
     blocks = LX.line_states(lines, probes)
     assert blocks.count() == probes.count()
+
+
+def test_depth_and_function_carry_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(LX, "BLOCK", 4)
+    rng = random.Random(3)
+    texts = [rng.choice(["{", "}", "}}", "{{ {", "function f%d() {" % i, "const g%d = async (x) => {" % i, "x", ""]) for i in range(90)]
+    lines = to_lines(spark.createDataFrame([("r", "a.ts", "\n".join(texts)), ("r", "b.ts", "}\n{")], "repo string, path string, content string"))
+    depth, want = 0, []
+    for t in texts:
+        want.append(depth)
+        depth = max(0, depth + t.count("{") - t.count("}"))
+    got = K.brace_depth(lines).where("path = 'a.ts'").orderBy("line_no").collect()
+    assert [r["depth"] for r in got] == want and got[0].asDict().keys() == {"repo", "path", "line_no", "text", "depth"}
+    names, last = [], None
+    for t in texts:
+        last = t.split("(")[0].split()[1] if t.startswith(("function", "const")) else last
+        names.append(last)
+    got = K.enclosing_function(lines).where("path = 'a.ts'").orderBy("line_no").collect()
+    assert [r["enclosing_function"] for r in got] == names
