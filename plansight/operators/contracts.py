@@ -75,20 +75,51 @@ def contract_violations(events: DataFrame, plan_props: DataFrame) -> DataFrame:
                     F.when(present, actual).alias("actual_type"), "violation"))
 
 
+def _segment_keys(name: Column, k: int) -> Column:
+    """The ``k + 1`` even segments of an indexed name: array of (len, seg, text)."""
+    size = F.length(name)
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(
+        size.alias("len"), i.alias("seg"),
+        F.substring(name, (F.floor(i * size / (k + 1)) + 1).cast("int"),
+                    (F.floor((i + 1) * size / (k + 1)) - F.floor(i * size / (k + 1))).cast("int")).alias("text")))
+
+
+def _probe_keys(name: Column, k: int) -> Column:
+    """Every (len, seg, text) under which a name within ``k`` edits can be indexed.
+
+    One of the ``k + 1`` segments is untouched by ``k`` edits. If it is moved by s and the lengths differ by d, at least
+    |s| edits lie before it and |d - s| after it, so s runs from (d - k) / 2 to (d + k) / 2."""
+    size = F.length(name)
+
+    def of_length(n: Column) -> Column:
+        def of_segment(i: Column) -> Column:
+            start = F.floor(i * n / (k + 1))
+            width = F.floor((i + 1) * n / (k + 1)) - start
+            moves = F.sequence(F.ceil((size - n - k) / 2), F.floor((size - n + k) / 2))
+            inside = F.filter(moves, lambda s: (start + s >= 0) & (start + s + width <= size))
+            return F.transform(inside, lambda s: F.struct(n.alias("len"), i.alias("seg"),
+                                                          F.substring(name, (start + s + 1).cast("int"), width.cast("int")).alias("text")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), of_segment))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(size - k, F.lit(0)), size + k), of_length)))
+
+
 def nearest_names(unknown: DataFrame, plan: DataFrame, max_distance: int = 4) -> DataFrame:
     """Nearest plan name by edit distance (<= ``max_distance``), first
     minimum in plan order wins; compared lower-cased.
 
-    ``unknown(repo_id, name)`` should be distinct names (not events): the
-    theta join is names x plan events of the same repo, plus a length band
-    that lets the join discard pairs before computing the distance.
+    ``unknown(repo_id, name)`` is made distinct. Names meet plan names of the
+    same repo only where they share a segment at a possible place (an index
+    of segments, an equi-join); the distance is computed for those alone.
     """
-    p = F.broadcast(plan.select("repo_id", F.col("name").alias("plan_name"), "ord"))
+    p = plan.select("repo_id", F.col("name").alias("plan_name"), "ord").select(
+        F.col("repo_id").alias("_repo"), "plan_name", "ord", F.inline(_segment_keys(F.lower("plan_name"), max_distance)))
     u = unknown.select("repo_id", "name").distinct()
+    probes = u.select("repo_id", "name", F.inline(_probe_keys(F.lower("name"), max_distance)))
     d = F.levenshtein(F.lower("name"), F.lower("plan_name"), max_distance)
-    cand = (u.join(p, (u["repo_id"] == p["repo_id"])
-                   & (F.abs(F.length("name") - F.length("plan_name")) <= max_distance))
-            .select(u["repo_id"], "name", "plan_name", "ord", d.alias("dist"))
+    cand = (probes.join(p, (probes["repo_id"] == p["_repo"]) & (probes["len"] == p["len"]) & (probes["seg"] == p["seg"])
+                        & (probes["text"] == p["text"]))
+            .select(probes["repo_id"], "name", "plan_name", "ord", d.alias("dist"))
             .where(F.col("dist") >= 0))
     best = cand.groupBy("repo_id", "name").agg(
         F.min_by("plan_name", F.struct("dist", "ord")).alias("suggestion"),

@@ -8,14 +8,13 @@ facts) before anything is joined.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from ..functions.util import LATER
 from ..functions.util import at as _at
 
 from ..functions import names as N
+from ..session import materialize
 from .corpus import regex_matches
 
 # Object, relationship and lifecycle patterns.
@@ -116,27 +115,33 @@ def _via(child: Column, parent: Column) -> Column:
     return F.concat(child, F.lit("."), N.snake_from_camel(parent), F.lit("_id → "), parent, F.lit(".id"))
 
 
-def join_paths(rel: DataFrame, keys: list[str] | None = None, max_hops: int = 3) -> DataFrame:
-    """Child -> parent paths of up to ``max_hops`` edges, the shortest per
-    (from, to); among equally short ones the first in edge order (the BFS
-    discovery order). Unrolled joins, no recursion."""
+def join_paths(rel: DataFrame, keys: list[str] | None = None, max_hops: int | None = 3) -> DataFrame:
+    """Child -> parent paths of up to ``max_hops`` edges (None: any number), the shortest per
+    (from, to); among equally short ones the first in edge order (the BFS discovery order).
+
+    Semi-naive: each round extends only the pairs that the round before found first, by one edge, and keeps those not
+    found yet; a shortest path's beginning is itself a shortest one, so no path is missed, and a cycle ends. Rounds are
+    written, and the last one finds nothing."""
     keys = keys or []
-    e = rel.select(*keys, "child", "parent", "ord").withColumn("_via", _via(F.col("child"), F.col("parent")))
-    paths = e.select(*keys, F.col("child").alias("from"), F.col("parent").alias("to"),
-                     F.array("_via").alias("via"), F.array("ord").alias("ords"))
-    frontier = paths
-    allp = [paths]
-    for _ in range(max_hops - 1):
-        nxt = frontier.alias("p").join(
-            e.alias("e"), [F.col(f"p.{k}") == F.col(f"e.{k}") for k in keys] + [F.col("p.to") == F.col("e.child")])
-        frontier = nxt.select(*[F.col(f"p.{k}") for k in keys], F.col("p.from"), F.col("e.parent").alias("to"),
-                              F.concat(F.col("p.via"), F.array("e._via")).alias("via"),
-                              F.concat(F.col("p.ords"), F.array("e.ord")).alias("ords"))
-        allp.append(frontier)
-    u = reduce(lambda a, b: a.unionByName(b), allp).withColumn("hops", F.size("via"))
-    best = u.groupBy(*keys, "from", "to").agg(F.min_by(F.struct("via", "hops", "ords"), F.struct("hops", "ords")).alias("b"))
-    return best.select(*keys, "from", "to", F.col("b.hops").alias("hops"), F.array_join("b.via", " | ").alias("via"),
-                       F.col("b.ords").alias("ords"))
+    pair = [*keys, "from", "to"]
+    e = materialize(rel.select(*keys, F.col("child").alias("_c"), F.col("parent").alias("_p"), "ord").withColumn(
+        "_via", _via(F.col("_c"), F.col("_p"))))
+
+    def first(paths: DataFrame) -> DataFrame:
+        return paths.groupBy(*pair).agg(F.min_by(F.struct("via", "ords"), "ords").alias("b")).select(*pair, "b.via", "b.ords")
+
+    frontier = materialize(first(e.select(*keys, F.col("_c").alias("from"), F.col("_p").alias("to"), F.array("_via").alias("via"),
+                                          F.array("ord").alias("ords"))))
+    found, hops = frontier, 1
+    while max_hops is None or hops < max_hops:
+        longer = frontier.join(e, [frontier[k] == e[k] for k in keys] + [frontier["to"] == e["_c"]])
+        longer = longer.select(*[frontier[k] for k in keys], "from", F.col("_p").alias("to"), F.concat("via", F.array("_via")).alias("via"),
+                               F.concat("ords", F.array("ord")).alias("ords"))
+        frontier = materialize(first(longer.join(found.select(*pair), pair, "left_anti")))
+        if frontier.isEmpty():
+            break
+        found, hops = found.unionByName(frontier), hops + 1
+    return found.select(*pair, F.size("via").alias("hops"), F.array_join("via", " | ").alias("via"), "ords")
 
 
 def hierarchy_props(objects_of_events: DataFrame, rel: DataFrame, paths: DataFrame) -> DataFrame:

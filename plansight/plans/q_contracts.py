@@ -61,6 +61,26 @@ def q_nearest_plan_name(spark, sf_dir):
     return C.nearest_names(unknown, plan).select("repo_id", "name", "suggestion", "distance")
 
 
+#: Spellings of event names by event id: a letter lost, doubled or changed, an affix, a plural, letters in front, another name.
+SPELLINGS = ("substr(n, 1, 2) || substr(n, 4)", "substr(n, 1, 3) || substr(n, 3)", "replace(n, 'c', 'k')", "n || '_x'", "upper(n) || 's'",
+             "'my_' || n", "'x' || substr(n, 2) || 'q'", "'something_' || n")
+MISSPELT_SQL = ("SELECT DISTINCT repo_id, CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(SPELLINGS))
+                + " END AS name FROM (SELECT repo_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'workflow_' || event_name ELSE event_name END AS n FROM {ev})")
+
+
+@query("misspelt_names", oracle=fx.with_ctes(fx.EVENTS_CTE, fx.cte("plan_events", fx.PLAN_EVENTS_SQL),
+                                              "u AS (" + MISSPELT_SQL.format(ev="ev") + ")", """c AS (
+  SELECT u.repo_id, u.name, p.name AS plan_name, p.ord, levenshtein(lower(u.name), lower(p.name)) AS dist
+  FROM u JOIN plan_events p ON p.repo_id = u.repo_id),
+b AS (SELECT repo_id, name, arg_min(plan_name, dist * 1000 + ord) AS suggestion, min(dist) AS distance
+      FROM c WHERE dist <= 4 GROUP BY repo_id, name)""") + """
+SELECT u.repo_id, u.name, b.suggestion, b.distance FROM u LEFT JOIN b ON b.repo_id = u.repo_id AND b.name = u.name""")
+def q_misspelt_names(spark, sf_dir):
+    """J10 on names that are near misses of planned ones."""
+    names = spark.sql(MISSPELT_SQL.format(ev="{ev}"), ev=T.events(spark, sf_dir))
+    return C.nearest_names(names, T.plan_events(spark)).select("repo_id", "name", "suggestion", "distance")
+
+
 @query("signal_routing", oracle=fx.with_ctes(fx.EVENTS_CTE, fx.cte("plan_events", fx.PLAN_EVENTS_SQL), """r AS (
   SELECT * FROM (VALUES ('action', 'analytics'), ('operation', 'logs'), ('state_change', 'analytics'),
                         ('state_change', 'logs'), ('error', 'logs'), ('error', 'alerts')) AS r(signal_type, destination))""") + """
