@@ -300,6 +300,31 @@ def xref_score(n: Column) -> Column:
     return F.when(n >= 10, 0.2).when(n >= 5, 0.15).when(n >= 2, 0.1).when(n >= 1, 0.03).otherwise(0.0)
 
 
+def _trigrams(c: Column) -> Column:
+    """The distinct pieces of three characters of a text, empty for a shorter one."""
+    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def schema_candidates(events: DataFrame, objects: DataFrame) -> DataFrame:
+    """(repo, entity, _en, _on, _oo) for every entity and object of a repo that are equal, or one of which holds the other
+    (three characters or more; compared in lower case without underscores).
+
+    A text that holds another holds its first three characters: the holders' pieces meet the first piece of the held in an
+    equi-join, and only those pairs are compared."""
+    e = events.select("repo", "entity").distinct().withColumn("_en", F.lower(F.regexp_replace("entity", "_", ""))).where("_en IS NOT NULL")
+    o = objects.select(F.col("repo").alias("_or"), F.lower(F.regexp_replace("name", "_", "")).alias("_on"), F.col("ord").alias("_oo"))
+    out = ["repo", "entity", "_en", "_on", "_oo"]
+    equal = e.join(o, (F.col("repo") == F.col("_or")) & (F.col("_en") == F.col("_on"))).select(*out)
+    held_o = o.where(F.length("_on") >= 3).withColumn("_g", F.substring("_on", 1, 3))
+    held_e = e.where(F.length("_en") >= 3).withColumn("_g", F.substring("_en", 1, 3))
+    holds_o = e.withColumn("_h", F.explode(_trigrams(F.col("_en")))).join(
+        held_o, (F.col("repo") == F.col("_or")) & (F.col("_h") == F.col("_g")) & F.col("_en").contains(F.col("_on"))).select(*out)
+    holds_e = o.withColumn("_h", F.explode(_trigrams(F.col("_on")))).join(
+        held_e, (F.col("repo") == F.col("_or")) & (F.col("_h") == F.col("_g")) & F.col("_on").contains(F.col("_en"))).select(*out)
+    return equal.unionByName(holds_o).unionByName(holds_e)
+
+
 def score(events: DataFrame, objects: DataFrame, xref: DataFrame) -> DataFrame:
     """relevance = schema .3 + file .2 + cross reference .2 + entity
     quality .15 + interaction type .15, capped at 1.
@@ -307,13 +332,7 @@ def score(events: DataFrame, objects: DataFrame, xref: DataFrame) -> DataFrame:
     Schema match takes the first object (in object order) that matches the
     entity exactly (.3) or partially (.2), as the reference does."""
     ev = events.withColumn("entity", N.entity_of_scored(F.col("name")))
-    en = F.lower(F.regexp_replace("entity", "_", ""))
-    ob = objects.select(F.col("repo").alias("_or"), F.lower(F.regexp_replace("name", "_", "")).alias("_on"), F.col("ord").alias("_oo"))
-    cand = (ev.select("repo", "entity").distinct().withColumn("_en", en)
-            .join(ob, (F.col("repo") == F.col("_or"))
-                  & ((F.col("_on") == F.col("_en"))
-                     | ((F.length("_on") >= 3) & (F.length("_en") >= 3)
-                        & (F.col("_on").contains(F.col("_en")) | F.col("_en").contains(F.col("_on")))))))
+    cand = schema_candidates(ev, objects)
     sm = cand.groupBy("repo", "entity").agg(
         F.min_by(F.when(F.col("_on") == F.col("_en"), 0.3).otherwise(0.2), F.col("_oo")).alias("schema_match"))
     x = (ev.join(sm, ["repo", "entity"], "left")

@@ -16,6 +16,7 @@ from ..operators import ingest as I
 from ..session import scratch_path
 from ..sources import ingest as src
 from ..sources import tables as T
+from ..streaming import delivery as DL
 from ..streaming import jobs as J
 from . import fixtures as fx
 from .catalog import query
@@ -119,19 +120,46 @@ PER_EVENT_GOOD = fx.with_ctes(fx.EVENTS_CTE, """good AS (
   FROM ev)""")
 
 
-@query("stream_fanout", oracle=fanout_sql(PER_EVENT_GOOD))
-def q_stream_fanout(spark, sf_dir):
-    """ST9: payloads rendered per micro-batch and written per destination."""
-    sink, ck = J.new_location(spark, "fanout")
+def rendered_payloads(spark, sf_dir):
+    """The stream of rendered payloads, one per event and destination."""
     ev = T.canonical_events(events_stream(spark, sf_dir)).select(
         F.concat(F.col("repo_id").cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("request_id"),
         "repo_id", "received_at", F.lit(0).alias("pos"), "event_name", "properties", "environment",
         F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("client_ts"))
-    targets = T.dim(spark, fx.FANOUT_TARGETS_SQL)
-    p = FO.fanout_payloads(ev, targets, ALLOWED_HOSTS)
-    J.run_available_now(p, sink, ck, partition_by=["destination"])
-    return spark.read.parquet(sink).select("request_id", "pos", "repo_id", "destination", "event_name",
-                                           "message_id", "payload")
+    return FO.fanout_payloads(ev, T.dim(spark, fx.FANOUT_TARGETS_SQL), ALLOWED_HOSTS)
+
+
+PAYLOAD_COLS = ["request_id", "pos", "repo_id", "destination", "event_name", "message_id", "payload"]
+
+
+@query("stream_fanout", oracle=fanout_sql(PER_EVENT_GOOD))
+def q_stream_fanout(spark, sf_dir):
+    """ST9: payloads rendered per micro-batch and written per destination."""
+    sink, ck = J.new_location(spark, "fanout")
+    J.run_available_now(rendered_payloads(spark, sf_dir), sink, ck, partition_by=["destination"])
+    return spark.read.parquet(sink).select(*PAYLOAD_COLS)
+
+
+@query("stream_delivery", oracle=fanout_sql(PER_EVENT_GOOD))
+def q_stream_delivery(spark, sf_dir):
+    """ST9 with failures: two destinations refuse their first batch, the others are served; a replay of the dead letters
+    then delivers every payload exactly once."""
+    sink, ck = J.new_location(spark, "delivery")
+    refused: set[str] = set()
+
+    def refusing_once(name):
+        def send(rows, path):
+            if name not in refused:
+                refused.add(name)
+                raise ConnectionError(f"{name} is down")
+            DL.to_folder(rows, path)
+        return send
+
+    names = [r["destination"] for r in T.dim(spark, fx.FANOUT_TARGETS_SQL).select("destination").distinct().collect()]
+    d = DL.Delivery(spark, sink, {n: refusing_once(n) if n in ("segment", "custom") else DL.to_folder for n in names})
+    d.run(rendered_payloads(spark, sf_dir), ck)
+    d.replay()
+    return d.delivered().select(*PAYLOAD_COLS)
 
 
 def _stream_validated(spark, sf_dir):

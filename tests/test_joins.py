@@ -59,3 +59,18 @@ def test_cyclic_graph_ends(spark):
         F.lit("N"), F.col("id") - F.col("id") % 5 + (F.col("id") + 1) % 5).alias("parent"), F.col("id").alias("ord"))
     out = G.join_paths(rel, max_hops=None)
     assert [tuple(r) for r in out.groupBy("hops").count().orderBy("hops").collect()] == [(h, n) for h in range(1, 6)]
+
+
+def test_schema_match_equals_brute_force(spark):
+    from plansight.operators import synthesis as Y
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abA_", k=rng.choice([0, 1, 2, 3, 4, 6])))
+    ents, objs = [(r, word()) for r in ("r", "s") for _ in range(70)] + [("r", None)], [(r, word(), i) for r in ("r", "t") for i in range(70)]
+    out = Y.schema_candidates(spark.createDataFrame(ents, "repo string, entity string"), spark.createDataFrame(objs, "repo string, name string, ord int"))
+    got = {(r["repo"], r["entity"], r["_oo"]) for r in out.collect()}
+    flat = lambda x: x.replace("_", "").lower()
+    want = {(r, e, i) for r, e in ents for rr, o, i in objs if r == rr and e is not None and (
+        flat(e) == flat(o) or min(len(flat(e)), len(flat(o))) >= 3 and (flat(e) in flat(o) or flat(o) in flat(e)))}
+    assert got == want
+    text = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
