@@ -41,6 +41,28 @@ def event_totals(counts: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("distinct_names")))
 
 
+#: Size of the sketches (log2 of their registers) and the standard error that goes with it.
+SKETCH_K = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_K / 2)
+
+
+def daily_sketches(events: DataFrame, time_col: str = "received_at") -> DataFrame:
+    """A2 by sketch: per (repo, day) the events, and mergeable sketches of their names and users.
+
+    The table has a row per repo and day whatever the traffic; any range of days is answered from it alone."""
+    return events.groupBy("repo_id", F.to_date(time_col).alias("date")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.hll_sketch_agg("event_name", F.lit(SKETCH_K)).alias("names"),
+        F.hll_sketch_agg("user_id", F.lit(SKETCH_K)).alias("users"))
+
+
+def totals_of_range(daily: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Totals and distinct names and users per repo over some days, from ``daily_sketches``."""
+    return (daily.where(F.col("date").between(first, last)).groupBy("repo_id")
+            .agg(F.sum("n_events").alias("total_events"),
+                 F.hll_sketch_estimate(F.hll_union_agg("names")).alias("distinct_names"),
+                 F.hll_sketch_estimate(F.hll_union_agg("users")).alias("distinct_users")))
+
+
 def recent_events(events: DataFrame, n: int = 50, per: str = "repo_id",
                   time_col: str = "received_at") -> DataFrame:
     """The ``n`` most recent events of every repo (ties by event id).
