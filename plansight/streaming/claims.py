@@ -23,7 +23,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Retention of the reference's two claim tables, in days.
 DELIVERY_DAYS, HEAD_DAYS = 90, 365
 DAY_US = 86_400_000_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: TTL and timers need RocksDB; a commit writes what changed, not a snapshot, and a small store does not reserve megabytes of disk.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+               "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def decide(times: np.ndarray, claimed: int | None, retention: int) -> tuple[np.ndarray, int | None]:
@@ -100,20 +103,18 @@ def claims(deliveries: DataFrame, keys: list[str], time_col: str, retention_days
 
 
 def drain(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str, event_time: bool = True) -> None:
-    """Run a claims stream over what its source holds. TTL and timers need the RocksDB store.
+    """Run a claims stream over what its source holds.
 
     By processing time Spark always has a next batch to expire claims in, so that one batch is run instead of a drain."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         w = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
         (w.trigger(availableNow=True) if event_time else w.trigger(once=True)).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def head_deliveries(events: DataFrame) -> DataFrame:
