@@ -5,26 +5,27 @@
    copies are never paired.
 2. Banding: nodes that agree on a band of ``ROWS`` hashes share a bucket. A pair
    of similarity 0.8 misses all ``HASHES / ROWS`` bands once in 10^7.
-3. Candidates are compared batch by batch of ``BATCH`` hashes (one byte each, so
-   chance agreements only help a pair). After each batch a pair whose posterior
-   probability of reaching the threshold is below ``MISS`` is pruned.
+3. Candidates are compared batch by batch of ``BATCH`` hashes (one byte each, mixed
+   so that unrelated sets of any size agree on one in 256). After each batch a pair
+   whose posterior probability of reaching the threshold is below ``MISS`` is pruned.
 4. Survivors are verified exactly on their full shingle sets.
 
-Pairs within a bucket are not all formed. First each node meets one leader,
-then some of the leaders of its other buckets (drawn by a hash, so they differ
-by bucket). After each step components are joined, so a tight group of thousands
-costs a few pairs per node. Only where a bucket still holds nodes of different
-components, the remaining links between those are looked for (``leftovers``):
-in a family of near copies, shingles that few of its nodes hold are told from
-those of the common original. Two nodes either share a rare shingle and meet
-there, or have nothing but common ones in common, and then their counts of
-common shingles bound their similarity. Both rules lose nothing, and what is
-rare is set per family so that meetings stay in proportion to its nodes.
+Pairs within a bucket are not all formed. First every node meets the hub of each
+of its buckets: the node whose buckets hold the most nodes, which in a family of
+near copies is their original, so that most copies meet the same one. Only where
+a bucket still holds nodes of different components, the remaining links between
+those are looked for (``leftovers``). Two nodes either share a shingle that at
+most ``FEW`` of the open nodes hold and meet there (a node meets fewer than
+``FEW`` others at each), or have nothing but commoner ones in common, and then
+their counts of those bound their similarity. An odd sketch bounds it further:
+a set's shingles are dealt to ``PARTS`` parts by a hash, a bit says whether a part
+holds an odd number; each bit that differs is a shingle that only one of the two
+sets holds, however long they are. None of these rules loses a link.
 
 Words are runs of anything but white space, A-Z lower-cased; a document with
 fewer words than a shingle has its whole sequence as one. Defined results:
 null or empty texts have no shingles and link with nothing; a row without an
-id takes no part (component null, kept); rows that repeat an id and its text
+id has a set size but takes no part (component null, kept); rows that repeat an id and its text
 share its component; an id is expected to stand for one text (of several, one
 stands for the id as a node); an empty table gives an empty table.
 """
@@ -32,12 +33,14 @@ stands for the id as a node); an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -82,6 +85,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature_bytes(sig: np.ndarray) -> bytes:
+    """One byte per min-hash. A minimum is small in a large set, so its own bytes are not uniform; mixed ones are."""
+    return (mix(sig) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     key = np.arange(HASHES // ROWS, dtype=np.uint64)
     for col in sig.reshape(-1, ROWS).T:
@@ -104,7 +112,7 @@ def in_groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes | None]]
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Size, fingerprint, signature bytes and band keys of every document with an id."""
+    """Size, fingerprint, signature bytes and band keys of every document."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in in_groups(batch):
@@ -112,13 +120,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 for i, s in zip(ids, shingle_sets(texts, k), strict=True):
                     sig = signature(s)
                     f1, f2 = (int(x) for x in np.array([mix(s).sum(dtype=np.uint64), mix(mix(s) ^ np.uint64(77)).sum(dtype=np.uint64)]).view(np.int64))
-                    for c, v in zip(out, (i, len(s), f1, f2, (sig >> np.uint64(56)).astype(np.uint8).tobytes(),
+                    for c, v in zip(out, (i, len(s), f1, f2, signature_bytes(sig),
                                           band_keys(sig).view(np.int64).tolist() if len(s) else []), strict=True):
                         c.append(v)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)],
                                       names=["doc_id", "n_shingles", "f1", "f2", "sig", "bands"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(sign, SIGNED)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(sign, SIGNED)
 
 
 def least_matches(percent: int) -> list[tuple[int, int]]:
@@ -152,6 +160,12 @@ def plausible(percent: int):
     return test
 
 
+def odd_sketch(s: np.ndarray) -> list[int]:
+    """PARTS bits, in longs: which parts hold an odd number of the set's shingles."""
+    odd = np.bincount((mix(s) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def similar(percent: int):
     """Exact test of two columns of shingle sets (sorted 64-bit hashes)."""
     @F.pandas_udf(BooleanType())
@@ -176,14 +190,14 @@ class Linker:
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int, folder: str):
         self.nodes, self.sets, self.percent, self.folder = nodes, sets, percent, folder
-        self.links: DataFrame | None = None
+        self.components: DataFrame | None = None
         self.steps = 0
 
     def verify(self, pairs: DataFrame) -> None:
-        """``pairs`` (a, b), each once: prune, verify, add the links and join components."""
+        """``pairs`` (a, b), each once: prune, verify, and join components along the links."""
         self.steps += 1
         pairs = written(pairs, f"{self.folder}/pairs-{self.steps}")
-        if self.links is not None and pairs.isEmpty():  # nothing left to join
+        if self.components is not None and pairs.isEmpty():  # nothing left to join
             return
         one = lambda side: self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
         near = (pairs.join(one("a"), "a").join(one("b"), "b").where(fit(F.col("n_a"), F.col("n_b"), self.percent))
@@ -192,8 +206,9 @@ class Linker:
         full = lambda side: self.sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"))
         links = (near.join(full("b"), "b").join(full("a"), "a").where(similar(self.percent)("set_a", "set_b")).select("a", "b"))
         links = written(links, f"{self.folder}/links-{self.steps}")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.components = written(connected(self.links), f"{self.folder}/components-{self.steps}")
+        if self.components is not None:  # what is known stays joined through its component
+            links = links.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.components = written(connected(links), f"{self.folder}/components-{self.steps}")
 
     def labelled(self, rows: DataFrame, node: str, label: str) -> DataFrame:
         """Add a node's component (the node itself, if it has no link yet)."""
@@ -201,9 +216,10 @@ class Linker:
         return rows.join(c, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-#: Leaders that a node meets in the second step, and meetings at rare shingles per node of a family: the rest is
-#: left to the exact rules of ``leftovers``.
-LEADERS, MEETINGS = 8, 16
+#: A shingle of at most this many open nodes is rare. A choice of cost alone: ``leftovers`` is exact for any value.
+FEW = 8
+#: Bits of the odd sketch; more bits bound tighter where sets differ by many shingles.
+PARTS = 1024
 
 
 def across(rows: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
@@ -220,110 +236,95 @@ def across(rows: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
 
 
 def leftovers(linker: Linker, buckets: DataFrame, folder: str) -> DataFrame | None:
-    """Pairs (a, b) of different components that may still be similar enough, and how far above the threshold they
-    can be (``slack``); None if no bucket holds any."""
+    """Pairs (a, b) of different components that may still be similar enough; None if no bucket holds any."""
     percent = linker.percent
-    mixed = written(linker.labelled(buckets.select("band", "leader", "node", "n"), "node", "c"), f"{folder}/mixed")
+    # the hub of a bucket of two has met the other node
+    mixed = written(linker.labelled(buckets.where("c > 2").select("band", "node", "n"), "node", "c"), f"{folder}/mixed")
     several = mixed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
     open_ = written(mixed.join(several, "band", "left_semi"), f"{folder}/open")
     if open_.isEmpty():
         return None
-    family = connected(open_.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    nodes = written(open_.select("node", "n", "c").distinct().join(family, "node").withColumnRenamed("component", "family"), f"{folder}/families")
+    nodes = written(open_.select("node", "n", "c").distinct(), f"{folder}/open-nodes")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, f, blob in zip(batch["node"].to_pylist(), batch["family"].to_pylist(), batch["set"], strict=True):
+            for node, blob in zip(batch["node"].to_pylist(), batch["set"], strict=True):
                 s = np.frombuffer(blob.as_py(), np.int64)
-                yield pa.record_batch([pa.array(np.full(len(s), f)), pa.array(s), pa.array(np.full(len(s), node))], names=["family", "s", "node"])
-
-    held = written(linker.sets.join(nodes.select("node", "family"), "node").select("node", "family", "set")
-                   .mapInArrow(spread, "family long, s long, node long"), f"{folder}/held")
-    df = written(held.groupBy("family", "s").agg(F.count(F.lit(1)).alias("df")), f"{folder}/df")
-    sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
-    upto = Window.partitionBy("family").orderBy("df").rowsBetween(Window.unboundedPreceding, 0)
-    few = (df.groupBy("family", "df").agg(F.count(F.lit(1)).alias("x")).withColumn("met", F.sum(F.col("x") * F.col("df") * (F.col("df") - 1) / 2).over(upto))
-           .join(sizes, "family").where(F.col("met") <= F.col("k") * MEETINGS).groupBy("family").agg(F.max("df").alias("few")))
-    rare = df.join(few, "family").where("df <= few").select("family", "s", "df")
-    kept = written(held.join(rare, ["family", "s"]), f"{folder}/rare")
+                yield pa.record_batch([pa.array(s), pa.array(np.full(len(s), node))], names=["s", "node"])
+
+    held = written(linker.sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "s long, node long"), f"{folder}/held")
+    rare = held.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= FEW)
+    kept = written(held.join(rare, "s"), f"{folder}/rare")
     counts = kept.groupBy("node").agg(F.count(F.lit(1)).alias("r"))
-    known = written(nodes.join(counts, "node", "left").withColumn("r", F.coalesce("r", F.lit(0))), f"{folder}/known")
+    known = written(nodes.join(counts, "node", "left").withColumn("r", F.coalesce("r", F.lit(0)))
+                    .join(linker.sets.select("node", "odd"), "node"), f"{folder}/known")
 
     def enough(both: Column) -> Column:
         return both * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
 
     common = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    apart = reduce(add, [F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARTS // 64)])
+    by_sketch = (F.col("n_a") + F.col("n_b") - apart) / 2
     # nothing rare in common. The size that a partner can have at most is below the bucket's least for most.
     rows = open_.select("band", "node").join(known, "node").withColumn("most", F.floor(((F.col("n") - F.col("r")) * (100 + percent)) / percent) - F.col("n"))
     least = rows.groupBy("band").agg(F.min("n").alias("least"))
     rows = rows.join(least, "band").where("most >= least")
-    plain = across(rows, ["band"], ["n", "r"]).where(enough(common))
-    meet = across(kept.where("df > 1").select("family", "s", "node").join(known.drop("family"), "node"), ["family", "s"], ["n", "r"])
+    plain = across(rows, ["band"], ["n", "r", "odd"]).where(enough(common) & enough(by_sketch))
+    meet = across(kept.where("df > 1").select("s", "node").join(known, "node"), ["s"], ["n", "r", "odd"])
     ends = [F.struct(F.col(x).alias("node"), F.col(f"n_{x}").alias("n"), F.col(f"r_{x}").alias("r")) for x in "ab"]
-    pairs = (meet.where(enough(common + F.least("r_a", "r_b"))).groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+    pairs = (meet.where(enough(common + F.least("r_a", "r_b")) & enough(by_sketch)).groupBy(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
              .agg(F.count(F.lit(1)).alias("both")))  # the rare shingles that the two share
     shared = pairs.select(*[F.col(f"{e}.{c}").alias(f"{d}{x}") for e, x in (("x", "a"), ("y", "b"))
                             for c, d in (("node", ""), ("n", "n_"), ("r", "r_"))], "both").where(enough(common + F.col("both")))
-    slack = lambda both: (both * (100 + percent) - (F.col("n_a") + F.col("n_b")) * percent).alias("slack")
-    return (plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), slack(common))
-            .unionByName(shared.select("a", "b", slack(common + F.col("both")))).groupBy("a", "b").agg(F.max("slack").alias("slack")))
+    return plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(shared.select("a", "b")).distinct()
 
 
 def components(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row with an id."""
+    """(doc_id, n_shingles, component_id) of every row; the component of a row without an id is null."""
     spark = docs.sparkSession
     folder = run_folder(spark, "near")
     signed = written(signatures(docs, k), f"{folder}/signed")
-    groups = signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    groups = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
     groups = written(groups, f"{folder}/groups")
-    rep = signed.join(groups.withColumnRenamed("node", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"], "left_semi")
+    rep = known.join(groups.withColumnRenamed("node", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"], "left_semi")
     banded = rep.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands")
     # (bucket, node): only buckets with several nodes matter from here on
     rows = banded.select("node", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("lead"),
-                                      F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("lead.node").alias("leader"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = written(rows.join(shared, "band"), f"{folder}/buckets")
-    members = buckets.select("node").distinct()
-    nodes = written(banded.drop("bands").join(members, "node", "left_semi"), f"{folder}/nodes")
+    members = buckets.groupBy("node").agg(F.sum("c").alias("reach"))
+    nodes = written(banded.drop("bands").join(members, "node"), f"{folder}/nodes")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in in_groups(batch):
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=["node", "set"])
+                found = shingle_sets(texts, k)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
+                                       pa.array([odd_sketch(s) for s in found], pa.list_(pa.int64()))], names=["node", "set", "odd"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
-        members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(sets_of, "node long, set binary"), f"{folder}/sets")
+        nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(texts.mapInArrow(sets_of, "node long, set binary, odd array<long>"), f"{folder}/sets")
     linker = Linker(nodes, sets, percent, folder)
 
-    stars = buckets.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node").distinct()
-    stars = written(stars, f"{folder}/stars")
-    first = stars.groupBy("node").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    linker.verify(first)
-    apart = lambda pairs: linker.labelled(linker.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    by_hash = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("a", "b"), "a", "b"))
-    some = stars.withColumn("i", by_hash).where(F.col("i") <= LEADERS).select("a", "b").distinct()
-    linker.verify(apart(some))
+    hubs = (buckets.join(nodes.select("node", "reach"), "node").groupBy("band")
+            .agg(F.max(F.struct("reach", F.xxhash64("node").alias("h"), "node")).alias("hub")).select("band", F.col("hub.node").alias("hub")))
+    linker.verify(buckets.join(hubs, "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     left = leftovers(linker, buckets, folder)
-    if left is not None:  # the most promising pairs of every node, then those that are still apart
-        left = written(left, f"{folder}/left")
-        rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("slack"), F.xxhash64("a", "b"), "a", "b"))
-        best = written(left.withColumn("i", F.least(rank("a"), rank("b"))).where(F.col("i") <= LEADERS).select("a", "b"), f"{folder}/best")
-        linker.verify(best)
-        linker.verify(apart(left.select("a", "b").join(best, ["a", "b"], "left_anti")))
+    if left is not None:
+        linker.verify(left)
 
     by_doc = signed.select("doc_id", "n_shingles", "f1", "f2").join(groups, ["f1", "f2", "n_shingles"], "left")
     out = linker.labelled(by_doc, "node", "component_id")
     # a row without shingles is its own component
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def report(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     """Per document: n_shingles, component_id, kept."""
-    out = components(docs.select("doc_id", "text"), k, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    lost = docs.where(F.col("doc_id").isNull())
-    return out.unionByName(lost.select("doc_id", F.lit(0).cast("long").alias("n_shingles"),
-                                       F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+    out = components(docs.select("doc_id", "text"), k, percent)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from plansight.llm import near_dup as nd
@@ -62,7 +64,7 @@ def test_one_of_each_keeps_columns_null_ids_and_empty_texts(spark, docs_of):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [10, 2, 4, 8, 9, None]
     null = [r for r in nd.report(docs).collect() if r["doc_id"] is None]
-    assert [(r["component_id"], r["kept"]) for r in null] == [(None, True)]
+    assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in null] == [(6, None, True)]
 
 
 def test_repeated_rows_and_empty_table(spark, docs_of):
@@ -83,6 +85,51 @@ def test_posterior_bounds_prune_far_pairs_only():
     assert all(0 < m < 0.8 * n for n, m in steps)
 
 
+@pytest.mark.parametrize("n", [100, 1000, 5000])
+def test_unrelated_sets_of_any_size_are_pruned_and_near_ones_are_not(n):
+    rng = np.random.default_rng(n)
+    some = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    left, far, near = [], [], []
+    for _ in range(40):
+        x = some(n)
+        left.append(nd.signature_bytes(nd.signature(x)))
+        far.append(nd.signature_bytes(nd.signature(some(n))))
+        near.append(nd.signature_bytes(nd.signature(np.concatenate([x[n // 10:], some(n // 10)]))))  # similarity 0.82
+    test = nd.plausible(80).func
+    assert not test(pd.Series(left), pd.Series(far)).any()
+    assert test(pd.Series(left), pd.Series(near)).all()
+
+
+def test_odd_sketch_never_overstates_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (1, 0), (40, 5), (300, 60), (6000, 900)):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.concatenate([x[m // 2:], rng.integers(0, 1 << 63, m // 2, dtype=np.uint64)])
+        bits = sum((a ^ b).bit_count() if a ^ b >= 0 else ((a ^ b) & (1 << 64) - 1).bit_count()
+                   for a, b in zip(nd.odd_sketch(x), nd.odd_sketch(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
+        assert m > 60 or bits >= 0.8 * len(np.setxor1d(x, y))
+
+
+def test_hub_of_a_family_is_its_original(spark, docs_of):
+    """Copies that are close to the original and not to each other are linked through it: no pair is left over."""
+    base = [f"w{j}" for j in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = list(base)
+        for j in range(8):
+            w[(i * 3 + j * 23) % 200] = f"u{i}-{j}"
+        rows.append((i, " ".join(w)))
+    calls = []
+    real = nd.leftovers
+    nd.leftovers = lambda *a: calls.append(real(*a))
+    try:
+        got = {tuple(r) for r in nd.report(docs_of(rows)).collect()}
+    finally:
+        nd.leftovers = real
+    assert got == brute(rows, 2, 80) and calls == [None]
+
+
 def test_family_with_many_unlinked_members(spark, docs_of):
     """Variants of one original: most are linked, some only with each other, some with nobody."""
     rng = random.Random(9)
