@@ -20,7 +20,8 @@ Defined results: vectors that are null, of zero length, empty, or hold null or
 non-finite components take no part; ties go to the smaller id; with fewer
 than ``k`` candidates all are returned, so a small table is searched whole;
 vectors of another length than the query are no candidates; repeated rows are
-separate candidates; an empty table gives an empty table.
+separate candidates; components of any finite size give their cosine (vectors are
+scaled by powers of two first); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,6 +44,13 @@ def usable(v: Column) -> Column:
     return F.coalesce(finite & F.exists(d, lambda x: x != 0), F.lit(False))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Every row times a power of two, its largest component then between 1/2 and 1: squares neither overflow nor
+    all vanish. Signs and cosines stay the same to the last bit where they were right before."""
+    _, e = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    return np.ldexp(x, -e)
+
+
 def planes(dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, TREES * BITS))
 
@@ -107,10 +115,10 @@ def slabs(batches: Iterator[pd.DataFrame], dim: int, seed: int) -> Iterator[Slab
                 ids.append(i)
                 rows.append(v)
                 if len(ids) == SLAB:
-                    yield Slab(np.array(ids), np.array(rows, np.float64), seed)
+                    yield Slab(np.array(ids), scaled(np.array(rows, np.float64)), seed)
                     ids, rows = [], []
     if ids:
-        yield Slab(np.array(ids), np.array(rows, np.float64), seed)
+        yield Slab(np.array(ids), scaled(np.array(rows, np.float64)), seed)
 
 
 def best(slab: Slab, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, float, int]]:
@@ -188,7 +196,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
             if not block:
                 continue
             block.sort(key=lambda r: r["vec_id"])
-            part = search_block(rows, np.array([r["vec_id"] for r in block]), np.array([r["embedding"] for r in block]),
+            part = search_block(rows, np.array([r["vec_id"] for r in block]), scaled(np.array([r["embedding"] for r in block], np.float64)),
                                 k, recall, sample, seed)
             found = part if found is None else found.unionByName(part)
     if found is None:

@@ -97,3 +97,11 @@ def test_sample_is_bounded(spark, docs_of):
     assert len(kq.train(docs, labels, sample=10).labels) == 10
     with pytest.raises(ValueError):
         kq.vote(kq.train(docs, labels, sample=10), np.zeros((2, 3), np.float32))
+
+
+def test_cosines_of_very_large_and_very_small_vectors(spark):
+    rows = [(50, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e200, 0.0]), (3, [1e-200, -1e-200]), (4, [5e-324, 5e-324])]
+    got = {r["vec_id"]: r["score"] for r in fa.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: pytest.approx(1), 4: pytest.approx(1), 2: pytest.approx(0.5 ** 0.5), 3: pytest.approx(0, abs=1e-12)}
+    x = np.random.default_rng(2).standard_normal((50, 64))
+    assert (fa.cosines(fa.scaled(x), fa.scaled(x[:1])[0]) == fa.cosines(x, x[0])).all()
