@@ -125,9 +125,10 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_tables(spark: SparkSession, sf_dir: str):
-    """(lines, files) of the derived corpus, each checkpointed once so every
+    """(lines, files) of the derived corpus, each written once so every
     detector reuses them instead of re-deriving them from the events."""
-    from ..session import materialize
-    lines = materialize(code_lines(spark, sf_dir).repartition("repo", "path"))
-    files = materialize(to_files(lines))
+    from ..session import spread, stored
+    n = spread(spark)  # matching is heavy for its bytes: partitions are not merged by size
+    lines = stored(code_lines(spark, sf_dir).repartition(n, "repo", "path"))
+    files = stored(to_files(lines.repartition(n, "repo", "path")))
     return lines, files
