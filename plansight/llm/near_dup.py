@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .anchors import word_hashes
-from .common import run_folder, written
+from .common import drop_folder, run_folder, written
 from .components import connected
 from .exchange import mix
 
@@ -202,13 +202,18 @@ class Linker:
         one = lambda side: self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
         near = (pairs.join(one("a"), "a").join(one("b"), "b").where(fit(F.col("n_a"), F.col("n_b"), self.percent))
                 .where(plausible(self.percent)("sig_a", "sig_b")).select("a", "b"))
-        near = written(near, f"{self.folder}/near-{self.steps}")
+        near = self.then(written(near, f"{self.folder}/near-{self.steps}"), "pairs")
         full = lambda side: self.sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}"))
         links = (near.join(full("b"), "b").join(full("a"), "a").where(similar(self.percent)("set_a", "set_b")).select("a", "b"))
-        links = written(links, f"{self.folder}/links-{self.steps}")
+        links = self.then(written(links, f"{self.folder}/links-{self.steps}"), "near")
         if self.components is not None:  # what is known stays joined through its component
             links = links.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.components = written(connected(links), f"{self.folder}/components-{self.steps}")
+        self.components = self.then(written(connected(links), f"{self.folder}/components-{self.steps}"), "links")
+
+    def then(self, table: DataFrame, name: str) -> DataFrame:
+        """``table`` is written, so that what it was made of can go."""
+        drop_folder(table.sparkSession, f"{self.folder}/{name}-{self.steps}")
+        return table
 
     def labelled(self, rows: DataFrame, node: str, label: str) -> DataFrame:
         """Add a node's component (the node itself, if it has no link yet)."""
@@ -242,6 +247,7 @@ def leftovers(linker: Linker, buckets: DataFrame, folder: str) -> DataFrame | No
     mixed = written(linker.labelled(buckets.where("c > 2").select("band", "node", "n"), "node", "c"), f"{folder}/mixed")
     several = mixed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
     open_ = written(mixed.join(several, "band", "left_semi"), f"{folder}/open")
+    drop_folder(linker.nodes.sparkSession, f"{folder}/mixed")
     if open_.isEmpty():
         return None
     nodes = written(open_.select("node", "n", "c").distinct(), f"{folder}/open-nodes")
@@ -255,6 +261,7 @@ def leftovers(linker: Linker, buckets: DataFrame, folder: str) -> DataFrame | No
     held = written(linker.sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "s long, node long"), f"{folder}/held")
     rare = held.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= FEW)
     kept = written(held.join(rare, "s"), f"{folder}/rare")
+    drop_folder(linker.nodes.sparkSession, f"{folder}/held")
     counts = kept.groupBy("node").agg(F.count(F.lit(1)).alias("r"))
     known = written(nodes.join(counts, "node", "left").withColumn("r", F.coalesce("r", F.lit(0)))
                     .join(linker.sets.select("node", "odd"), "node"), f"{folder}/known")
@@ -279,6 +286,19 @@ def leftovers(linker: Linker, buckets: DataFrame, folder: str) -> DataFrame | No
     return plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(shared.select("a", "b")).distinct()
 
 
+#: Bits of the mask in ``thinned``; at most MASK / 64 rows are broadcast, however many ids there are.
+MASK = 1 << 24
+
+
+def thinned(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) whose id may be a node: none that is one gets lost, so few others travel to the exact join."""
+    h = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MASK))
+    slot = lambda c: F.shiftright(h(c), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (h(c) % 64).cast("int"))
+    mask = nodes.groupBy(slot("node").alias("slot")).agg(F.bit_or(bit("node")).alias("bits"))
+    return texts.join(F.broadcast(mask), slot("doc_id") == F.col("slot")).where(F.col("bits").bitwiseAND(bit("doc_id")) != 0).select(*texts.columns)
+
+
 def components(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component of a row without an id is null."""
     spark = docs.sparkSession
@@ -303,8 +323,8 @@ def components(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
                                        pa.array([odd_sketch(s) for s in found], pa.list_(pa.int64()))], names=["node", "set", "odd"])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
-        nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = thinned(docs.select("doc_id", F.col("text").cast("binary").alias("text")), nodes).join(
+        nodes.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])  # nodes are distinct; a semi join would be moved below the mask
     sets = written(texts.mapInArrow(sets_of, "node long, set binary, odd array<long>"), f"{folder}/sets")
     linker = Linker(nodes, sets, percent, folder)
 
@@ -314,6 +334,8 @@ def components(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
     left = leftovers(linker, buckets, folder)
     if left is not None:
         linker.verify(left)
+    for gone in ("buckets", "nodes", "sets", "open", "open-nodes", "rare", "known"):
+        drop_folder(spark, f"{folder}/{gone}")
 
     by_doc = signed.select("doc_id", "n_shingles", "f1", "f2").join(groups, ["f1", "f2", "n_shingles"], "left")
     out = linker.labelled(by_doc, "node", "component_id")

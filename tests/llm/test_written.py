@@ -5,6 +5,7 @@ import time
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from plansight.llm import near_dup
 from plansight.llm.common import run_folder, written
 from plansight.session import CLEAN_UP, stored
 
@@ -33,3 +34,22 @@ def test_long_rows_share_no_row_group(spark):
     assert written(long, path, packed=True).count() == 12
     groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
     assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 4
+
+
+def test_near_duplicates_leave_only_what_is_read(spark, docs_of):
+    """Sets, buckets and pairs are on disk no longer when the result is read."""
+    near_dup_folders = lambda: set(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/near-*/*"))
+    seen = near_dup_folders() if spark.conf.get("spark.checkpoint.dir", None) else set()
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:39], f"x{i}"])) for i in range(6)] + [(9, "another text")]
+    out = {r["doc_id"]: r["component_id"] for r in near_dup.report(docs_of(rows)).collect()}
+    assert out == dict.fromkeys(range(6), 0) | {9: 9}
+    assert {f.rsplit("/", 1)[1].split("-")[0] for f in near_dup_folders() - seen} == {"signed", "groups", "components"}
+
+
+def test_few_texts_travel_to_the_join_with_nodes(spark):
+    """The mask loses no node, keeps few other texts and stays below the exact join, where texts are shuffled."""
+    texts = spark.range(-5000, 20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    nodes = texts.where("doc_id % 10 = 0").select(F.col("doc_id").alias("node"))
+    got = {r["doc_id"] for r in near_dup.thinned(texts, nodes).collect()}
+    assert got >= {i for i in range(-5000, 20_000) if i % 10 == 0} and len(got) < 2_600
