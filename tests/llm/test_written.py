@@ -48,7 +48,7 @@ def test_near_duplicates_leave_only_what_is_read(spark, docs_of):
 
 
 def test_few_texts_travel_to_the_join_with_nodes(spark):
-    """The mask loses no node, keeps few other texts and stays below the exact join, where texts are shuffled."""
+    """The mask loses no node and keeps few other texts."""
     texts = spark.range(-5000, 20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     nodes = texts.where("doc_id % 10 = 0").select(F.col("doc_id").alias("node"))
     got = {r["doc_id"] for r in near_dup.thinned(texts, nodes).collect()}
