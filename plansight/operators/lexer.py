@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BLOCK = 1024
 FILE = ["repo", "path"]
 IDENTITY = 0b11_10_01_00  # two bits per state, state 0 (code) lowest
@@ -42,6 +44,13 @@ def then(first: Column, second: Column) -> Column:
     return packed([after(second, F.shiftright(first, 2 * i).bitwiseAND(3)) for i in range(4)])
 
 
+def plain(text: Column) -> Column:
+    """Whether a text surely leaves every state as it is: no backslash, and quotes of at most one kind, an even number."""
+    n = [F.length(text) - F.length(F.replace(text, F.lit(q), F.lit(""))) for q in "'\"`"]
+    kinds = sum((F.when(x > 0, 1).otherwise(0) for x in n), F.lit(0))
+    return ~text.contains("\\") & (kinds <= 1) & ((n[0] + n[1] + n[2]) % 2 == 0)
+
+
 def map_of(text: Column) -> Column:
     """What a piece of text does to the state. A quote opens a literal in code and closes its own; a backslash takes the
     next character out of a literal, but means nothing in code, where a quote after it opens a literal."""
@@ -57,13 +66,13 @@ def map_of(text: Column) -> Column:
 
         return packed([one(F.shiftright(m, 2 * i).bitwiseAND(3)) for i in range(4)])
 
-    return F.aggregate(tokens, F.lit(IDENTITY), step)
+    return F.when(plain(text), F.lit(IDENTITY)).otherwise(F.aggregate(tokens, F.lit(IDENTITY), step))
 
 
 def last_mark(text: Column) -> Column:
     """True if the last block comment mark of a text opens a comment, false if it closes one, null without a mark."""
     m = F.regexp_extract(text, LAST_MARK, 1)
-    return F.when(m != "", m == "/*")
+    return F.when(text.contains("/*") | text.contains("*/"), m == "/*")
 
 
 def _running(rows: Column, state: Column, opened: Column, key: str) -> Column:
@@ -84,6 +93,8 @@ def line_states(lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
     ``wanted(repo, path, line_no)`` limits the result to some lines; the scan then carries those and the lines that
     change the lexer, nothing else."""
+    if wanted is not None:  # only what may move the lexer is looked at
+        lines = lines.where(~plain(F.concat("text", F.lit("\n"))) | F.col("text").contains("/*") | F.col("text").contains("*/"))
     x = lines.select(*FILE, F.col("line_no").cast("bigint").alias("line_no"), map_of(F.concat("text", F.lit("\n"))).cast("int").alias("map"),
                      last_mark(F.col("text")).alias("mark"))
     if wanted is not None:
@@ -93,11 +104,12 @@ def line_states(lines: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         x = x.groupBy(*FILE, "line_no").agg(F.max_by("map", F.when(F.col("map") != IDENTITY, 1).otherwise(0)).alias("map"),
                                             F.max("mark").alias("mark"))
     x = x.withColumn("block", F.floor(F.col("line_no") / BLOCK).cast("bigint"))
-    blocks = x.groupBy(*FILE, "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "map", "mark"))).alias("rows"))
+    # read twice, for the state at the block starts and for the lines
+    blocks = stored(x.groupBy(*FILE, "block").agg(F.sort_array(F.collect_list(F.struct("line_no", "map", "mark"))).alias("rows")))
     whole = blocks.select(*FILE, "block", F.aggregate("rows", F.lit(IDENTITY), lambda m, r: then(m, r["map"])).alias("map"),
                           F.aggregate("rows", F.lit(None).cast("boolean"), lambda m, r: F.coalesce(r["mark"], m)).alias("mark"))
     # a row per block: a file of ten million lines has ten thousand
-    starts = whole.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("block", "map", "mark"))).alias("rows")).select(
+    starts = whole.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("block", "map", "mark"))).alias("rows")).select(
         *FILE, F.inline(_running(F.col("rows"), F.lit(0), F.lit(False), "block")))
     out = blocks.join(starts, [*FILE, "block"]).select(*FILE, F.inline(_running(F.col("rows"), F.col("state"), F.col("open"), "line_no")))
     if wanted is not None:

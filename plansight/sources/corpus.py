@@ -52,7 +52,7 @@ def to_files(lines: DataFrame) -> DataFrame:
     """
     return (lines.groupBy("repo", "path")
             .agg(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]),
+                F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]),
                 "\n").alias("content")))
 
 
@@ -93,7 +93,9 @@ def changed_files(current: DataFrame, previous_fp: DataFrame) -> DataFrame:
 
 def derived_code_lines(raw_events: DataFrame) -> DataFrame:
     """Synthetic TS/TSX lines, one per given event, numbered per user file."""
-    e = raw_events
+    # lines are numbered first: the window exchanges no text
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = raw_events.select("event_id", "user_id", "event_type", F.row_number().over(w).cast("int").alias("line_no"))
     obj = (F.when(e.event_id % 4 == 0, "workflow").when(e.event_id % 4 == 1, "invoice")
            .when(e.event_id % 4 == 2, "member").otherwise("project"))
     q = F.lit("'")
@@ -110,11 +112,10 @@ def derived_code_lines(raw_events: DataFrame) -> DataFrame:
             .otherwise(F.concat(F.lit("// track("), q, F.lit("legacy_"), obj, q, F.lit(")"))))
     prefix = (F.when(e.user_id % 4 == 0, "src/components/U").when(e.user_id % 4 == 1, "src/app/api/orders/U")
               .when(e.user_id % 4 == 2, "src/lib/U").otherwise("src/pages/U"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(
         F.concat(F.lit("repo"), (e.user_id % 5).cast("string")).alias("repo"),
         F.concat(prefix, e.user_id.cast("string"), F.lit(".tsx")).alias("path"),
-        F.row_number().over(w).cast("int").alias("line_no"),
+        "line_no",
         text.alias("text"),
     )
 
@@ -128,7 +129,9 @@ def corpus_tables(spark: SparkSession, sf_dir: str):
     """(lines, files) of the derived corpus, each written once so every
     detector reuses them instead of re-deriving them from the events."""
     from ..session import spread, stored
+    from .tables import read_table
     n = spread(spark)  # matching is heavy for its bytes: partitions are not merged by size
-    lines = stored(code_lines(spark, sf_dir).repartition(n, "repo", "path"))
+    raw = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    lines = stored(derived_code_lines(raw.repartition(n, "user_id")))  # a user's lines are a file: dealt once
     files = stored(to_files(lines.repartition(n, "repo", "path")))
     return lines, files

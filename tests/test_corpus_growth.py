@@ -53,3 +53,41 @@ def test_enclosing_function_of_wanted_lines(spark, monkeypatch):
     want = {(r["line_no"], r["enclosing_function"]) for r in K.enclosing_function(lines).collect()}
     monkeypatch.setattr(K.LX, "BLOCK", 2)
     assert {(r["line_no"], r["enclosing_function"]) for r in K.enclosing_function(lines, lines).collect()} == want
+
+
+def test_calls_whose_next_comma_is_far_read_no_file(spark, monkeypatch):
+    """Long runs of calls without a comma go on at the next one; the rest of the file is read for none of them."""
+    kept, stored = [], K.stored
+    monkeypatch.setattr(K, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    content = "track('a');\n" * 300 + "x, { k: 1 }\n" + "y\n" * 40 + "track('b')\n" * 60
+    calls = K.track_calls(spark.createDataFrame([("r", "a.ts", content)], FILE))
+    got = {(r["event_name"], tuple(r["prop_keys"])): r["count"] for r in calls.groupBy("event_name", "prop_keys").count().collect()}
+    assert got == {("a", ("k",)): 300, ("b", ()): 60}
+    assert kept[-1].count() == 0
+
+
+def test_next_line_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K.LX, "BLOCK", 4)
+    marked, asked = [3, 9, 10, 30], list(range(1, 33))
+    rows = lambda xs: spark.createDataFrame([("r", "a.ts", x) for x in xs], "repo string, path string, line_no int")
+    got = {r["line_no"]: r["next"] for r in K.next_line(rows(asked), rows(marked)).collect()}
+    assert got == {a: next((m for m in marked if m > a), None) for a in asked}
+
+
+def test_numbering_lines_exchanges_no_text(spark):
+    """The text of a line is made of its event after the events are dealt and numbered."""
+    from plansight.sources.corpus import derived_code_lines
+    events = spark.createDataFrame([(1, 5, "view", 1)], "event_id long, user_id long, event_type string, ts int")
+    plan = derived_code_lines(events)._jdf.queryExecution().executedPlan().toString()
+    assert "legacy_" in plan and "legacy_" not in plan[plan.index("Window"):]
+
+
+def test_surroundings_are_read_once(spark, monkeypatch):
+    """The entity of a CRUD call is written in place of the text that it was read from."""
+    kept, stored = [], K.stored
+    monkeypatch.setattr(K, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    files = spark.createDataFrame([("r", "a.ts", "db.from('teams').insert(row)\nx.save(1)\n")], FILE)
+    m = K.guarded_matches(files, ["crud"])
+    got = K.crud_candidates(m, files, to_lines(files)).select("function_name").collect()
+    assert "team.insert" in {r["function_name"] for r in got}
+    assert not any({"_back", "_ahead"} & set(df.columns) for df in kept)

@@ -73,3 +73,21 @@ def test_depth_and_function_carry_over_blocks(spark, monkeypatch):
         names.append(last)
     got = K.enclosing_function(lines).where("path = 'a.ts'").orderBy("line_no").collect()
     assert [r["enclosing_function"] for r in got] == names
+
+
+def test_plain_texts_leave_every_state(spark):
+    """What is taken for plain changes no state; lines with pairs of one quote are."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["'", '"', "`", "\\", "x", " "]) for _ in range(rng.randint(0, 7))) for _ in range(400)] + ["track('a', 'b')"]
+    tokens = F.regexp_extract_all("t", F.lit(LX.TOKEN), 0).alias("tokens")
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", LX.plain(F.col("t")).alias("p"), LX.map_of(F.col("t")).alias("m"), tokens).collect():
+        want = 0
+        for s in range(4):
+            now = s
+            for token in r["tokens"]:
+                q = "'\"`".find(token[-1]) + 1
+                now = now if not q else q if now == 0 else 0 if now == q and len(token) == 1 else now
+            want |= now << 2 * s
+        assert r["m"] == want, r["t"]
+        assert not r["p"] or want == LX.IDENTITY, r["t"]
+    assert r["p"]
