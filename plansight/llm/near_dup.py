@@ -44,8 +44,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..session import small_batches
+from . import common
 from .anchors import word_hashes
-from .common import drop_folder, run_folder, written
+from .common import drop_folder, run_folder
 from .components import connected
 from .exchange import mix
 
@@ -58,6 +60,12 @@ ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``common.written``, with texts and sets in batches of a group: by rows alone, 10,000 long ones are one batch."""
+    with small_batches(df.sparkSession, GROUP_BYTES):
+        return common.written(df, path)
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """Per text the sorted hashes of its distinct shingles."""
     h, bounds = word_hashes([(t or b"").lower() for t in texts])

@@ -145,3 +145,20 @@ def test_family_with_many_unlinked_members(spark, docs_of):
     expected = brute(rows, 2, 80)
     assert 5 < len({r[2] for r in expected}) < 150
     assert {tuple(r) for r in nd.report(docs_of(rows)).collect()} == expected
+
+
+def test_long_texts_reach_workers_in_small_batches(spark, tmp_path):
+    """30 texts of 1 MB are several batches, not one; the session's own setting comes back."""
+    import pyarrow as pa
+
+    from plansight.session import BATCH_BYTES
+    before = spark.conf.get(BATCH_BYTES)
+    docs = spark.range(0, 30, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id % 10 AS string), 1000000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    got = nd.written(docs.mapInArrow(sizes, "n long"), str(tmp_path / "sizes")).agg({"n": "max"}).first()[0]
+    assert got < 2 * nd.GROUP_BYTES
+    assert spark.conf.get(BATCH_BYTES) == before
