@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; all but the last return the columns of ``documents``.
 ``run`` writes each stage's rows as Parquet in the shared folder and reads
 them again as the next stage's input, so a lost executor never costs more
-than the stage at hand.
+than the stage at hand. Texts reach Python workers in batches of bounded size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plansight.llm import apportion, decontaminate, jump_shards, knn_quality, near_dup
-from plansight.llm.common import run_folder, written
+from plansight.llm.common import GROUP_BYTES, run_folder, written
+from plansight.session import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = run_folder(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"{folder}/{i}")
+    with small_batches(spark, GROUP_BYTES):
+        for i, (_, stage) in enumerate(STAGES):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{i}")
     return docs

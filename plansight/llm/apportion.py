@@ -29,17 +29,22 @@ import zlib
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import SPACE, run_folder, written
+from .exchange import rows
 
 CELL_TOKENS = 2_000_000
 MAX_SOURCES = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A Mersenne prime: the multiplier of the block permutation, prime to every number of blocks below it.
 PRIME = (1 << 61) - 1
+SHARES = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("seats", pa.int64()),
+                    ("blocks", pa.int64()), ("cells", pa.int32()), ("mult", pa.int64()), ("shift", pa.int64())])
+SHARES_SQL = "source string, source_size long, target double, seats long, blocks long, cells int, mult long, shift long"
 
 
 @dataclass(frozen=True)
@@ -128,15 +133,19 @@ def source_sizes(docs: DataFrame) -> list[tuple[str | None, int]]:
     return sorted(((r["source"], r["size"] or 0) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
 
 
+def shares_table(spark: SparkSession, numbers: list[tuple]) -> DataFrame:
+    """The numbers of all sources. From Arrow, as a list of rows would start Python workers that stay beside the others."""
+    return spark.createDataFrame(rows(SHARES, numbers), SHARES_SQL)
+
+
 def place(docs: DataFrame, shares: list[Share], block: int = 64, seed: int = 7) -> DataFrame:
     """Add ``start`` (first token's place in its source), the share's numbers and ``taken`` to every document.
 
     ``docs`` has columns doc_id, source, size (tokens) and any others."""
     spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(s.source, s.size, s.target, s.seats, s.blocks, max(1, -(-s.size // CELL_TOKENS)), PRIME % max(1, s.blocks),
-          zlib.crc32(f"{seed}/{s.source}".encode()) % max(1, s.blocks)) for s in shares],
-        "source string, source_size long, target double, seats long, blocks long, cells int, mult long, shift long")
+    plan = shares_table(spark, [
+        (s.source, s.size, s.target, s.seats, s.blocks, max(1, -(-s.size // CELL_TOKENS)), PRIME % max(1, s.blocks),
+         zlib.crc32(f"{seed}/{s.source}".encode()) % max(1, s.blocks)) for s in shares])
     # one row per source, at most MAX_SOURCES (checked): small enough to broadcast
     known = docs.withColumnRenamed("source", "source_").join(
         F.broadcast(plan), F.col("source_").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("source_", "source")
@@ -207,10 +216,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     """The mix as documents: one row per document and pass that takes words of it, with the columns of ``docs``;
     the text is what the taken blocks hold (the whole text if all of it is taken)."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("*").alias("row"))
-    sizes = written(rows.groupBy("source").agg(F.sum("size").alias("size")), run_folder(spark, "mix"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    sizes = written(sized.groupBy("source").agg(F.sum("size").alias("size")), run_folder(spark, "mix"))
     shares = quotas(source_sizes(sizes), list(weights), share, max_epochs, block)
-    placed = place(rows, shares, block, seed).select("row", "size", passes(block).alias("pieces"))
+    placed = place(sized, shares, block, seed).select("row", "size", passes(block).alias("pieces"))
     each = placed.select("row", "size", "pieces", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("k"))
     own = each.select("row", "size", F.filter("pieces", lambda p: (p["pass"] == F.col("k")) & (p["n"] > 0)).alias("mine"))
     got = own.withColumn("n", F.aggregate("mine", F.lit(0).cast("long"), lambda a, p: a + p["n"])).where("n > 0")

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
+from .common import give_back
+
 TERMS = 1 << 12
 #: Each step of the share of repeated words that a text passes is a term of its own.
 STEPS = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9], np.float32)
@@ -142,6 +144,7 @@ def scored(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame
                 block = texts.iloc[i:i + BLOCK]
                 out[i:i + BLOCK] = vote(shared.value, np.stack([term_counts(t or b"") for t in block]))
             yield pd.Series(out)
+        give_back()
 
     return docs.withColumn(score_col, score(F.col("text").cast("binary")))
 

@@ -47,13 +47,12 @@ from pyspark.sql.types import BooleanType
 from ..session import small_batches
 from . import common
 from .anchors import word_hashes
-from .common import drop_folder, run_folder
+from .common import GROUP_BYTES, drop_folder, give_back, run_folder
 from .components import connected
 from .exchange import mix
 
 HASHES, ROWS, BATCH = 128, 4, 32
 MISS = 1e-7
-GROUP_BYTES = 1 << 21
 _rng = np.random.default_rng(20)
 MULT = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -133,6 +132,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         c.append(v)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)],
                                       names=["doc_id", "n_shingles", "f1", "f2", "sig", "bands"])
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(sign, SIGNED)
 
@@ -330,6 +330,7 @@ def components(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
                 found = shingle_sets(texts, k)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()),
                                        pa.array([odd_sketch(s) for s in found], pa.list_(pa.int64()))], names=["node", "set", "odd"])
+        give_back()
 
     texts = thinned(docs.select("doc_id", F.col("text").cast("binary").alias("text")), nodes).join(
         nodes.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])  # nodes are distinct; a semi join would be moved below the mask

@@ -73,3 +73,12 @@ def test_mixed_documents_hold_what_is_taken(spark, docs_of):
 def test_empty_table(spark, docs_of):
     assert ap.mix_report(docs_of([])).count() == 0
     assert ap.mixed_documents(docs_of([])).count() == 0
+
+
+def test_table_of_sources_starts_no_python_workers(spark):
+    """Workers that a list of rows needs would stay beside those of the next stages."""
+    numbers = [(None, 1 << 40, 2.5, 3, 4, 5, 6, 7), ("é", 0, 0.0, 0, 0, 1, 0, 0)]
+    table = ap.shares_table(spark, numbers)
+    lineage = table._jdf.queryExecution().toRdd().toDebugString()
+    assert "PythonRDD" not in lineage and [tuple(r) for r in table.collect()] == numbers
+    assert ap.shares_table(spark, []).count() == 0

@@ -1,5 +1,9 @@
+import pandas as pd
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from plansight.llm import apportion, decontaminate, knn_quality, near_dup
+from plansight.session import BATCH_BYTES
 
 from ..conftest import SMALL
 
@@ -47,3 +51,16 @@ def test_run_and_empty_documents(spark, docs_of):
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
     assert near_dup.components(docs_of([]), 5).count() == 0
+
+
+def test_all_stages_send_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """A stage's Python functions get 30 texts of 1 MB in several batches, not in one."""
+    @F.pandas_udf("long")
+    def size(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    spark.range(0, 30, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id % 10 AS string), 1000000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(cp, "STAGES", [("sizes", lambda spark, docs, sf_dir: docs.select(size("text").alias("n")))])
+    before = spark.conf.get(BATCH_BYTES)
+    assert cp.run(spark, str(tmp_path)).agg(F.max("n")).first()[0] < 2 * cp.GROUP_BYTES
+    assert spark.conf.get(BATCH_BYTES) == before
