@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plansight.operators import corpus as K
+from plansight.session import stored
 from plansight.sources.corpus import to_lines
 
 FILE = "repo string, path string, content string"
@@ -91,3 +92,16 @@ def test_surroundings_are_read_once(spark, monkeypatch):
     got = K.crud_candidates(m, files, to_lines(files)).select("function_name").collect()
     assert "team.insert" in {r["function_name"] for r in got}
     assert not any({"_back", "_ahead"} & set(df.columns) for df in kept)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_are_not_broadcast(spark):
+    """The files of repetitive rows are far smaller than the rows: their size must not make a join send them through the driver."""
+    lines = stored(spark.range(100_000).select(F.lit("r").alias("repo"), F.lit("a.ts").alias("path"), (F.col("id") + 1).cast("int").alias("line_no"),
+                                               F.lit("<button onClick={handleCreate}>").alias("text")))
+    m = stored(lines.select("repo", "path", "line_no", F.lit(0).alias("col"), F.col("text").alias("match")))
+    for df in (lines.join(m, ["repo", "path", "line_no"]), K.guard(m, None, lines), K.with_context(m, lines, 4, 15)):
+        assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
