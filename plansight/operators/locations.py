@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.util import at as _at
-from .corpus import regex_matches
+from ..session import stored
+from .corpus import many_matches
 
 # Lifecycle statuses that name a transition, and the patterns.
 STATUSES = ["started", "completed", "failed", "accepted", "rejected"]
@@ -44,14 +45,12 @@ def _window_text(rows: DataFrame, lines: DataFrame, lo, hi, out: str) -> DataFra
 
 def status_transitions(files: DataFrame, lines: DataFrame) -> DataFrame:
     """C14: runtime status transitions for every status of the fixed set."""
-    parts = []
     named = files.where(F.col("content").contains("status"))  # every pattern holds the word
-    for si, s in enumerate(STATUSES):
-        for pi, (pname, pat, bonus) in enumerate(TRANSITION_PATTERNS):
-            m = regex_matches(named, pat.replace("{s}", s))
-            parts.append(m.select("repo", "path", "match_no", "line_no", F.lit(s).alias("status"),
-                                  F.lit(pname).alias("pattern"), F.lit(pi).alias("pattern_no"), F.lit(bonus).alias("_bonus")))
-    m = reduce(lambda a, b: a.unionByName(b), parts)
+    kinds = [(s, pname, pi, bonus, pat.replace("{s}", s)) for s in STATUSES for pi, (pname, pat, bonus) in enumerate(TRANSITION_PATTERNS)]
+    m = many_matches(named, [(k, pat, (), None) for k, (*_, pat) in enumerate(kinds)])  # one exchange for all of them
+    kind = _at(F.array(*[F.struct(F.lit(s).alias("status"), F.lit(pname).alias("pattern"), F.lit(pi).alias("pattern_no"), F.lit(bonus).alias("_bonus"))
+                         for s, pname, pi, bonus, _ in kinds]), F.col("pid") + 1)
+    m = m.select("repo", "path", "match_no", "line_no", kind.alias("_kind")).select("repo", "path", "match_no", "line_no", "_kind.*")
     m = m.withColumn("_k", F.concat_ws(":", "status", F.col("pattern_no").cast("string"), F.col("match_no").cast("string")))
     # the match line is line_no; the reference's window is 6 lines above to 2 below
     m = _window_text(m, lines, F.col("line_no") - 6, F.col("line_no") + 2, "_rt")
@@ -82,7 +81,7 @@ def best_locations(gaps: DataFrame, files: DataFrame, lines: DataFrame) -> DataF
     need = g.where(F.col("path").isNull() | (F.col("path") == "unknown") | (F.col("line_no") == 0))
     tg = need.select("t_repo", "name", F.regexp_extract("name", STATUS_SUFFIX, 1).alias("status"),
                      F.regexp_replace("name", r"_\w+$", "").alias("entity")).where(F.col("status") != "")
-    tr = status_transitions(files, lines)
+    tr = stored(status_transitions(files, lines))
     ranked = rank_for_entity(tr, tg).where(F.col("rank") == 1)
     st = ranked.select("t_repo", "name", F.col("path").alias("s_path"), F.col("line_no").alias("s_line"),
                        F.col("confidence").alias("s_conf"))

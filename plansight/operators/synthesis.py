@@ -230,8 +230,9 @@ def group_business_edits(ev: DataFrame, links: DataFrame | None = None) -> tuple
 
 
 def _named_events(interactions: DataFrame) -> DataFrame:
-    x = interactions.withColumn("name", guess_event_name(F.col("type"), F.col("function_name"), F.col("ui_hint"),
-                                                         F.col("entities")))
+    # through an array of one, so the name is a column of its own: its long expression would else stand in every use of it
+    name = guess_event_name(F.col("type"), F.col("function_name"), F.col("ui_hint"), F.col("entities"))
+    x = interactions.select("*", F.explode(F.array(name)).alias("name"))
     x = x.where(F.col("name").isNotNull() & N.is_valid_event_name(F.col("name")))
     return x.select("repo", "name", "function_name",
                   F.concat(F.col("type"), F.lit(": "), F.col("function_name")).alias("description"),

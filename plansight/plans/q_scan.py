@@ -12,7 +12,7 @@ from ..sources import corpus as S
 from . import duck as D
 from . import fixtures as fx
 from .catalog import query
-from ..session import materialize
+from ..session import materialize, stored
 from .q_corpus import CL, INTER_DUCK, INV_DUCK
 from .q_graph import OBJ_DUCK
 
@@ -34,7 +34,7 @@ def scored(spark, sf_dir):
     lines, files, inter = parts(spark, sf_dir)
     ev = materialize(Y.synthesize(inter))
     ents = ev.select("repo", Y.N.entity_of_scored(F.col("name")).alias("entity"))
-    return Y.score(ev, G.context_objects(files), K.cross_reference(lines, ents))
+    return Y.score(ev, materialize(G.context_objects(files)), K.cross_reference(lines, ents))
 
 
 def _rxd(x, p, g):
@@ -200,7 +200,7 @@ def gap_rows(spark, sf_dir):
     lines, files, inter = parts(spark, sf_dir)
     ev = materialize(Y.synthesize(inter))
     ents = ev.select("repo", Y.N.entity_of_scored(F.col("name")).alias("entity"))
-    sc = Y.score(ev, G.context_objects(files), K.cross_reference(lines, ents))
+    sc = Y.score(ev, materialize(G.context_objects(files)), K.cross_reference(lines, ents))
     existing = K.inventory(K.inventory_calls(files), lines)
     return Y.gaps(sc, existing), existing
 
@@ -256,8 +256,9 @@ def q_best_location(spark, sf_dir):
     location, status transition, inferred file, unknown)."""
     from ..operators import locations as L
     g, _ = gap_rows(spark, sf_dir)
+    g = stored(g.select("repo", "name", "path", "line_no", "confidence"))  # read by every step of the chain
     lines, files = S.corpus_tables(spark, sf_dir)
-    return L.best_locations(g.select("repo", "name", "path", "line_no", "confidence"), files, lines)
+    return L.best_locations(g, files, lines)
 
 
 @query("status_transition_locations")

@@ -5,6 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from plansight.operators import corpus as K
+from plansight.operators import locations as L
+from plansight.operators import synthesis as Y
 from plansight.session import stored
 from plansight.sources.corpus import to_lines
 
@@ -105,3 +107,24 @@ def test_written_tables_are_not_broadcast(spark):
     m = stored(lines.select("repo", "path", "line_no", F.lit(0).alias("col"), F.col("text").alias("match")))
     for df in (lines.join(m, ["repo", "path", "line_no"]), K.guard(m, None, lines), K.with_context(m, lines, 4, 15)):
         assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
+
+
+def test_event_name_is_worked_out_once(spark):
+    """The expression that names an interaction stands once in the plan, however often the name is used."""
+    inter = spark.createDataFrame([("r", "src/a.tsx", 1, "click_handler", "handleCreateMember", "x", None, ["member"], "onClick={handleCreateMember}", 0.85, 1, 0, 1, 0)],
+                                  "repo string, path string, line_no int, type string, function_name string, context string, ui_hint string, entities array<string>, "
+                                  "trigger string, confidence double, detector int, match_no long, first_detector int, first_match_no long")
+    name = inter.select(Y.guess_event_name(F.col("type"), F.col("function_name"), F.col("ui_hint"), F.col("entities")).alias("name"))
+    assert len(_plan(Y.synthesize(inter))) < 5 * len(_plan(name))
+    assert [r["name"] for r in Y.synthesize(inter).collect()] == ["member_created"]
+
+
+def test_status_patterns_share_an_exchange(spark):
+    """Fifteen patterns, one exchange of their matches; the right status and pattern for each."""
+    text = "a.status = 'failed'\nreturn { status: 'completed' }\ndb.x.update({ status: 'started' })"
+    files = spark.createDataFrame([("r", "a.ts", text)], FILE)
+    lines = to_lines(files)
+    got = L.status_transitions(files, lines)
+    assert _plan(got.select("pattern_no")).count("REPARTITION_BY_NUM") <= 3
+    assert {(r["status"], r["pattern"], r["line_no"]) for r in got.collect()} == {
+        ("failed", "assignment", 1), ("completed", "return-status", 2), ("started", "return-status", 2), ("started", "update-status", 3)}
