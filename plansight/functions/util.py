@@ -16,3 +16,8 @@ def at(container, key) -> Column:
     c = F.col(container) if isinstance(container, str) else container
     k = key if isinstance(key, Column) else F.lit(key)
     return F.try_element_at(c, k)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once: an expression used in many places stands once in the plan."""
+    return at(F.transform(F.array(value), body), 1)

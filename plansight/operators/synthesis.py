@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from ..functions.util import at as _at
+from ..functions.util import let
 
 from ..functions import names as N
-from ..session import materialize
+from ..session import materialize, stored
 from . import corpus as K
 
 # ---------------------------------------------------------------------------
@@ -129,8 +130,8 @@ def _ui_hint_name(hint: Column) -> Column:
     words = F.filter(F.transform(F.split(obj_text, " "), lambda w: F.trim(F.regexp_replace(w, "[^a-zA-Z0-9]", ""))),
                      lambda w: w != "")
     obj = N.snake_from_words(words)
-    cand = F.concat(obj, F.lit("_"), N.past_tense(verb))
-    return F.when(verb.isNotNull() & (F.size(words) > 0) & (obj != "") & N.is_valid_event_name(cand), cand)
+    cand = let(F.concat(obj, F.lit("_"), N.past_tense(verb)), lambda c: F.when(N.is_valid_event_name(c), c))
+    return F.when(verb.isNotNull() & (F.size(words) > 0) & (obj != ""), cand)
 
 
 def _handler_name(fn: Column) -> Column:
@@ -247,7 +248,7 @@ def _named_events(interactions: DataFrame) -> DataFrame:
 def synthesize(interactions: DataFrame, granular: bool = False) -> DataFrame:
     """Fast (rule-based) synthesis of business events from interactions."""
     d, _ = dedupe_events(_named_events(interactions).drop("function_name"))
-    return d if granular else group_business_edits(d)[0]
+    return d if granular else group_business_edits(stored(d))[0]  # written: a row per name, which the grouping reads twice
 
 
 def synthesize_with_sources(interactions: DataFrame, granular: bool = False) -> tuple[DataFrame, DataFrame]:

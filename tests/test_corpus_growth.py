@@ -128,3 +128,13 @@ def test_status_patterns_share_an_exchange(spark):
     assert _plan(got.select("pattern_no")).count("REPARTITION_BY_NUM") <= 3
     assert {(r["status"], r["pattern"], r["line_no"]) for r in got.collect()} == {
         ("failed", "assignment", 1), ("completed", "return-status", 2), ("started", "return-status", 2), ("started", "update-status", 3)}
+
+
+def test_plan_of_hooks_stays_small(spark):
+    """Bodies of hooks are written once, not carried through every step of their guard; the entity is still found."""
+    text = "export function useSave() {\n  return useMutation({ mutationFn: async (x) => db.users.create(x) })\n}\n// useMutation({ mutationFn: db.users.remove(x) })"
+    files = spark.createDataFrame([("r", "src/a.tsx", text)], FILE)
+    lines = to_lines(files)
+    got = K.hook_candidates(K.guarded_matches(files, ["hook"], lines), files, lines)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 80_000
+    assert [(r["line_no"], r["function_name"], r["entities"], r["confidence"]) for r in got.collect()] == [(2, "useSave", ["user"], 0.85)]
