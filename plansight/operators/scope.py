@@ -295,7 +295,7 @@ def code_properties(interactions: DataFrame, files: DataFrame) -> DataFrame:
     file_props = typed.unionByName(untyped)
     it = interactions.select("repo", "path", "function_name", F.col("line_no").alias("_line"),
                              _at(F.col("entities"), 1).alias("_entity"))
-    a = it.join(file_props, ["repo", "path"])
+    a = it.join(file_props.hint("merge"), ["repo", "path"])  # as for ``stored`` tables; a union hides theirs
     db = it.join(per_file.where("_db").select("repo", "path"), ["repo", "path"]).where(F.col("_entity").isNotNull()).select(
         "repo", "path", "function_name", "_line", "_entity", F.lit(2 * LATER).alias("ord"),
         F.concat("_entity", F.lit("_id")).alias("prop"), F.lit("string").alias("type"), F.lit(False).alias("required"),

@@ -10,7 +10,7 @@ from ..operators import feedback as FB
 from ..operators import patches as PT
 from ..operators import plan as P
 from ..operators import synthesis as Y
-from ..session import materialize
+from ..session import materialize, stored
 from ..sources import corpus as S
 from ..sources import patches as SP
 from ..sources import tables as T
@@ -35,7 +35,7 @@ added AS (
 
 def lines_and_patches(spark, sf_dir):
     lines, files = S.corpus_tables(spark, sf_dir)
-    return lines, files, materialize(SP.derived_patches(lines))
+    return lines, files, stored(SP.derived_patches(lines))
 
 
 @query("patch_added_lines", oracle=fx.with_ctes(CL, ADDED_DUCK) + "SELECT * FROM added")

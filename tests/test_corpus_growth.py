@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from plansight.operators import corpus as K
 from plansight.operators import locations as L
+from plansight.operators import patches as PT
 from plansight.operators import synthesis as Y
 from plansight.session import stored
+from plansight.sources import patches as SP
 from plansight.sources.corpus import to_lines
 
 FILE = "repo string, path string, content string"
@@ -102,10 +104,12 @@ def _plan(df) -> str:
 
 def test_written_tables_are_not_broadcast(spark):
     """The files of repetitive rows are far smaller than the rows: their size must not make a join send them through the driver."""
-    lines = stored(spark.range(100_000).select(F.lit("r").alias("repo"), F.lit("a.ts").alias("path"), (F.col("id") + 1).cast("int").alias("line_no"),
+    lines = stored(spark.range(100_000).select(F.lit("r").alias("repo"), F.lit("src/lib/U1.tsx").alias("path"), (F.col("id") + 1).cast("int").alias("line_no"),
                                                F.lit("<button onClick={handleCreate}>").alias("text")))
     m = stored(lines.select("repo", "path", "line_no", F.lit(0).alias("col"), F.col("text").alias("match")))
-    for df in (lines.join(m, ["repo", "path", "line_no"]), K.guard(m, None, lines), K.with_context(m, lines, 4, 15)):
+    added = PT.added_lines(stored(SP.derived_patches(lines)))
+    for df in (lines.join(m, ["repo", "path", "line_no"]), K.guard(m, None, lines), K.with_context(m, lines, 4, 15), K.next_line(m, lines),
+               K.enclosing_function(lines, m), PT.new_interactions(m, added)):
         assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
 
 
