@@ -135,7 +135,7 @@ def scope_variables(lines: DataFrame, targets: DataFrame) -> DataFrame:
     w = Window.partitionBy("repo", "path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     info = d.withColumn("_start", F.last(F.when(function_start(F.col("text")), F.col("line_no")), ignorenulls=True).over(w))
     t = targets.select("repo", "path", "line_no").distinct().join(
-        info.select("repo", "path", "line_no", "_start", F.col("depth").alias("_tdepth")), ["repo", "path", "line_no"])
+        info.select("repo", "path", "line_no", "_start", F.col("depth").alias("_tdepth")).hint("merge"), ["repo", "path", "line_no"])
     sig = lines.select("repo", "path", F.col("line_no").alias("_start"), F.col("text").alias("_sig"))
     tp = t.join(sig, ["repo", "path", "_start"], "left")
     params = tp.where(F.col("_start").isNotNull()).select(
@@ -146,7 +146,7 @@ def scope_variables(lines: DataFrame, targets: DataFrame) -> DataFrame:
     segment = F.coalesce("_start", F.lit(0)).alias("_segment")
     declared = info.select("repo", "path", segment, F.col("line_no").alias("decl_line"), F.col("depth").alias("_d"),
                            line_declarations(F.col("text")).alias("_vars")).where(F.size("_vars") > 0)
-    decls = t.select("repo", "path", "line_no", segment, "_tdepth").join(declared, ["repo", "path", "_segment"]).where(
+    decls = t.select("repo", "path", "line_no", segment, "_tdepth").join(declared.hint("merge"), ["repo", "path", "_segment"]).where(
         (F.col("decl_line") < F.col("line_no")) & (F.col("_d") <= F.col("_tdepth"))).select(
         "repo", "path", "line_no", F.posexplode("_vars").alias("_pos", "v"), "decl_line")
     allv = params.unionByName(decls).select("repo", "path", "line_no", "decl_line", "_pos", "v.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plansight.operators import corpus as K
 from plansight.operators import locations as L
 from plansight.operators import patches as PT
+from plansight.operators import scope as SC
 from plansight.operators import synthesis as Y
 from plansight.session import stored
 from plansight.sources import patches as SP
@@ -108,7 +109,7 @@ def test_written_tables_are_not_broadcast(spark):
                                                F.lit("<button onClick={handleCreate}>").alias("text")))
     m = stored(lines.select("repo", "path", "line_no", F.lit(0).alias("col"), F.col("text").alias("match")))
     added = PT.added_lines(stored(SP.derived_patches(lines)))
-    for df in (lines.join(m, ["repo", "path", "line_no"]), K.guard(m, None, lines), K.with_context(m, lines, 4, 15), K.next_line(m, lines),
+    for df in (lines.join(m, ["repo", "path", "line_no"]), K.guard(m, None, lines), K.with_context(m, lines, 4, 15), K.next_line(m, lines), SC.scope_variables(lines, m),
                K.enclosing_function(lines, m), PT.new_interactions(m, added)):
         assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
 
